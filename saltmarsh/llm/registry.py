@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import exact_dedup, mixing, quality_rules
+from saltmarsh.llm import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_packing": packing.op2_packing,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op6_language_id": language_id.op6_language_id,
+        "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
