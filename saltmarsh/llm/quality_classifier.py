@@ -6,7 +6,9 @@ bounded, class-balanced sample of labelled documents gives term weights, a
 truncated singular value decomposition, and the labelled vectors; these are
 broadcast (SAMPLE_PER_CLASS * 2 * RANK floats at most, with the projection).
 Every document is projected, its cosine with every labelled vector is computed in
-blocks, and the nearest neighbours vote with their similarity.
+blocks, and the nearest neighbours vote with their similarity.  As the sample is
+balanced and the corpus is not, a vote also counts by its class's share of all
+labelled documents over its share of the sample.
 
 Defined cases: a null text is empty; an empty text is projected like any other
 and has the neutral score if its vector is zero; without labelled rows of both
@@ -70,9 +72,10 @@ def term_counts(text: str | None) -> np.ndarray:
 class Neighbours:
     """Term weights, projection, and labelled vectors."""
 
-    def __init__(self, counts: np.ndarray, label: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS):
-        self.label, self.k = label.astype(np.float32), min(neighbours, max(1, len(label)))
-        self.prior = float(label.mean()) if len(label) else 0.5
+    def __init__(self, counts: np.ndarray, label: np.ndarray, prior: float, rank: int = RANK, neighbours: int = NEIGHBOURS):
+        self.label, self.k, self.prior = label.astype(np.float32), min(neighbours, max(1, len(label))), prior
+        share = float(label.mean()) if len(label) else 0.5
+        self.votes = np.where(label == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9)).astype(np.float32)
         self.vectors = None
         if 0 < label.sum() < len(label):
             self.idf = (1 + np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))).astype(np.float32)
@@ -94,19 +97,20 @@ class Neighbours:
             return np.full(len(counts), self.prior)
         cos = self._unit((self._unit(counts * self.idf)) @ self.axes) @ self.vectors.T
         near = np.argpartition(-cos, self.k - 1, axis=1)[:, : self.k]
-        w = np.maximum(0.0, np.take_along_axis(cos, near, 1)).astype(float) ** 8
+        w = np.maximum(0.0, np.take_along_axis(cos, near, 1)).astype(float) ** 8 * self.votes[near]
         total = w.sum(1)
         return np.where(total > 0, (w * self.label[near]).sum(1) / np.maximum(1e-12, total), self.prior)
 
 
-def balanced_sample(rows: DataFrame, label: str, per_class: int) -> DataFrame:
-    """About ``per_class`` rows of each class of ``rows`` (doc_id, text, label), drawn by a hash of the id."""
-    share = {int(r[label]): min(1.0, per_class / r["n"]) for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+def balanced_sample(rows: DataFrame, label: str, per_class: int) -> tuple[DataFrame, float]:
+    """About ``per_class`` rows of each class of ``rows`` (doc_id, text, label), drawn by a hash of the id; the share of label 1 in all."""
+    n = {int(r[label]): r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    share = {k: min(1.0, per_class / v) for k, v in n.items()}
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) / (1 << 20)
     limit = F.lit(0.0)
     for k, s in share.items():
         limit = F.when(F.col(label) == k, s).otherwise(limit)
-    return rows.where(draw < limit)
+    return rows.where(draw < limit), n.get(1, 0) / sum(n.values()) if n else 0.5
 
 
 def labelled(docs: DataFrame, marks: DataFrame, label: str, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,10 +125,11 @@ def fit(rows: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS) -> Neigh
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "v": [term_counts(t).astype(np.float16).tobytes() for t in b["text"]], "y": b[label]})
 
-    got = balanced_sample(rows, label, per_class).mapInPandas(terms, "doc_id long, v binary, y int").collect()
+    sample, prior = balanced_sample(rows, label, per_class)
+    got = sample.mapInPandas(terms, "doc_id long, v binary, y int").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"]))
     counts = np.array([np.frombuffer(r["v"], np.float16) for r in got], np.float32).reshape(len(got), TERMS)
-    return Neighbours(counts, np.array([r["y"] for r in got], np.int64))
+    return Neighbours(counts, np.array([r["y"] for r in got], np.int64), prior)
 
 
 def score_documents(docs: DataFrame, model: Neighbours, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,8 +10,8 @@ where the class prior is the share of toxic rows among the labelled ones.  When
 the second part falls below zero, the step goes up that part instead, as in the
 published method.
 
-Features are the words of a bounded vocabulary (those most over-represented
-among the positives, and the most frequent ones), present or not, over whole
+Features are words and word beginnings of a bounded vocabulary (those whose share
+of documents differs most between the two samples), present or not, over whole
 texts.  Both training sets are bounded samples; vocabulary and weights are
 broadcast (VOCABULARY entries).
 
@@ -33,7 +33,7 @@ from saltmarsh.llm.common import cut, documents, fold, labels
 
 #: Rows that the classifier is fitted on, about.
 POSITIVES, UNLABELLED = 2000, 8000
-VOCABULARY = 20_000
+VOCABULARY = 1000
 MIN_DOCUMENTS = 5
 HELD_OUT_PARTS = 5
 STEPS = 250
@@ -43,7 +43,9 @@ _STRIP = ".,;:!?\"'()[]{}|*#"
 
 
 def words_of(text: str | None) -> set[str]:
-    return {w.strip(_STRIP) for w in set((text or "").lower().split())} - {""}
+    """The distinct words of a text and their first four and five letters, each behind a ^."""
+    words = {w.strip(_STRIP) for w in set((text or "").lower().split())} - {""}
+    return words | {"^" + w[:4] for w in words} | {"^" + w[:5] for w in words}
 
 
 class Words:
@@ -112,7 +114,8 @@ def fit(docs: DataFrame, marks: DataFrame, learn: Callable[[str], Column], doc_i
     sample = cut(pos.unionByName(unl).mapInPandas(split, "doc_id long, p int, words array<string>"))
     n_pos, n_unl = (sample.where(F.col("p") == k).count() for k in (1, 0))
     df = sample.select("p", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("p") == 1).alias("in_p"), F.count_if(F.col("p") == 0).alias("in_u")).where(F.col("in_p") + F.col("in_u") >= MIN_DOCUMENTS)
-    lift = F.abs((F.col("in_p") + 1) / max(1, n_pos) - (F.col("in_u") + 1) / max(1, n_unl)) * F.sqrt(F.col("in_p") + F.col("in_u"))
+    share = (F.col("in_p") + F.col("in_u")) / max(1, n_pos + n_unl)
+    lift = F.abs(F.col("in_p") / max(1, n_pos) - F.col("in_u") / max(1, n_unl)) / F.sqrt(share * (1 - share) + 1e-9)
     vocabulary = [r["w"] for r in df.orderBy(lift.desc(), "w").limit(VOCABULARY).collect()]
     index = {w: i for i, w in enumerate(vocabulary)}
     shared = docs.sparkSession.sparkContext.broadcast(index)
