@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saltmarsh.llm import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, toxicity
+from saltmarsh.llm import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_packing": packing.op2_packing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op6_language_id": language_id.op6_language_id,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
