@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from saltmarsh.llm import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 
 
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "pipeline": corpus_pipeline.run,
     }
 
 
