@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from saltmarsh.llm import exact_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from saltmarsh.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_language_id": language_id.op6_language_id,
         "op7_simhash": simhash.op7_simhash,
         "op8_mixing": mixing.op8_mixing,
