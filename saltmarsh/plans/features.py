@@ -67,7 +67,7 @@ _FIVE = f"""SELECT symbol, bar_ts, ret_1, ret_6, vwap, atr_14, vol_20, vol_ratio
     CASE WHEN vol_20 > 0 THEN greatest(-8.0, least(8.0, ret_1 / vol_20)) ELSE 0.0 END AS scaled_return, CASE WHEN slot < 8 THEN 'open' WHEN slot < 16 THEN 'middle' ELSE 'close' END AS phase FROM (
   SELECT *, coalesce(stddev_pop(ret_1) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0.0) AS vol_20 FROM (
     SELECT *, {ratio('close', 'coalesce(lag(close, 1) OVER w, first_value(close) OVER w)')} AS ret_1, {ratio('close', 'coalesce(lag(close, 6) OVER w, first_value(close) OVER w)')} AS ret_6,
-      avg(high - low) OVER ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr_14, volume / avg(volume) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS vol_ratio,
+      avg(high - low) OVER ({W} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS atr_14, CASE WHEN avg(volume) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 0 THEN volume / avg(volume) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) ELSE 1.0 END AS vol_ratio,
       row_number() OVER ({D}) AS seq, lag(close) OVER w AS prev, first_value(open) OVER ({D}) AS day_open
     FROM {_vwap(D, '((high + low + close) / 3)')} WINDOW w AS ({W})))"""
 reg("e08_five_minute_block", lambda v: E.five_minute_block(v.bars), _FIVE, f"{KEY} phase", "ret_1 ret_6 vwap atr_14 vol_20 vol_ratio session_gap open_to_now scaled_return")
