@@ -10,7 +10,9 @@ is lost, and none is found by comparing everything.  Pivots alone cannot give
 candidates without comparing all pairs, as distances to a reference crowd around
 half the bits; they do their work on the candidates: the table of distances to
 the reference fingerprints discards each pair whose largest coordinate difference
-exceeds d (the triangle inequality), and the survivors are verified.
+exceeds d (the triangle inequality), and the survivors are verified.  Blocks that
+many fingerprints share belong to large families of near copies; these are linked
+without pairs (see _dense_links), with the same components.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero
 and links like any other; texts with fewer words than a shingle hash the whole
@@ -34,6 +36,8 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 N_PIVOTS = 12
+#: Fingerprints that may share a block and still be compared in pairs.
+DENSE = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -88,19 +92,48 @@ def pivots(n: int = N_PIVOTS) -> list[int]:
     return [int(v) for v in np.random.default_rng(7).integers(0, 1 << 64, n, dtype=np.uint64)]
 
 
+def _centres(max_bits: int) -> list[int]:
+    """Masks that flip up to half of ``max_bits`` bits."""
+    return [reduce(int.__or__, (1 << i for i in c), 0) for n in range(max_bits // 2 + 1) for c in combinations(range(64), n)]
+
+
+def _dense_links(dense: DataFrame, max_bits: int) -> DataFrame:
+    """Links that join up what is within ``max_bits`` bits among ``dense`` (fp, node), without forming pairs.
+
+    Two fingerprints at most 2r bits apart have a value between them that is at
+    most r bits from both, and all fingerprints at most r bits from one value are
+    at most 2r apart.  So those around each value are linked to the smallest.
+    """
+    if max_bits % 2:
+        raise ValueError("dense groups need an even number of bits")
+    around = F.explode(F.array(*[F.lit(_signed(m)) for m in _centres(max_bits)]))
+    near = dense.select("fp", "node", around.alias("m")).select("node", F.col("fp").bitwiseXOR(F.col("m")).alias("centre"))
+    least = cut(near.groupBy("centre").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("centre").alias("l_centre"), "least"))
+    return near.join(least, (F.col("centre") == F.col("l_centre")) & (F.col("node") != F.col("least"))).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints differ in at most ``max_bits`` bits; ``distinct`` has fp, node."""
+    """Links (a, b) between nodes that connect all fingerprints within ``max_bits`` bits; ``distinct`` has fp, node.
+
+    Blocks that at most DENSE fingerprints share give pairs, which are verified.
+    Fingerprints that share a fuller block are linked by _dense_links, so that a
+    large family of near copies costs no pairs within it.
+    """
     masks = block_masks(distinct.count(), max_bits)
     tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
     side = distinct.select("fp", "node", tables.alias("k")).select("fp", "node", F.col("k.t").alias("t"), F.col("k.key").alias("key"))
+    full = cut(side.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE)).select(F.col("t").alias("f_t"), F.col("key").alias("f_key"))
+    in_full = (F.col("t") == F.col("f_t")) & (F.col("key") == F.col("f_key"))
+    dense = cut(side.join(full, in_full, "left_semi").select("fp", "node").distinct())
     far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("int") for p in pivots()]
-    side = side.select("*", *[d.alias(f"d{i}") for i, d in enumerate(far)])
+    side = side.join(full, in_full, "left_anti").select("*", *[d.alias(f"d{i}") for i, d in enumerate(far)])
     left = side.select(*[F.col(c).alias(f"l_{c}") for c in side.columns])
     right = side.select(*[F.col(c).alias(f"r_{c}") for c in side.columns])
     near = [F.abs(F.col(f"l_d{i}") - F.col(f"r_d{i}")) <= max_bits for i in range(N_PIVOTS)]
     same = (F.col("l_t") == F.col("r_t")) & (F.col("l_key") == F.col("r_key")) & (F.col("l_fp") < F.col("r_fp"))
     verified = F.bit_count(F.col("l_fp").bitwiseXOR(F.col("r_fp"))) <= max_bits
-    return left.join(right, same & reduce(lambda a, b: a & b, near) & verified).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+    pairs = left.join(right, same & reduce(lambda a, b: a & b, near) & verified).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+    return pairs.unionByName(_dense_links(dense, max_bits))
 
 
 def components(edges: DataFrame) -> DataFrame:
