@@ -1,10 +1,10 @@
 """Mix sources to target weights by subset-sum budget fitting.
 
-Sizes are counted per source and exact length.  A target is split into whole
-passes over the source and a rest; the rest is filled in proportion over the
-lengths, then by the longest documents that still fit, and a bounded-knapsack
-dynamic program over the counts of each length closes the gap.  Within a length
-the documents with the smallest seeded hashes are taken.
+Sizes are counted per source and exact length, and each document may be taken up
+to MAX_PASSES times.  A target is filled in proportion over the lengths, then by
+the longest documents that still fit, and a bounded-knapsack dynamic program over
+what each length still offers closes the gap.  Within a length the documents with
+the smallest seeded hashes are taken once more than the others.
 
 One group of copies may hold a third of a source at one length: the rank inside
 a length is found through buckets of about BUCKET_ROWS rows, by counts and
@@ -62,40 +62,54 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, span: int = DP_SPAN) -> np.ndarray:
-    """How many documents of each size to take so that their sizes add up to ``budget``, or as near below as can be."""
-    take = np.zeros(len(sizes), np.int64)
+    """How many documents of each size to take so that their sizes add up to ``budget``, or as near below as can be.
+
+    Starts in proportion to the counts; where the program cannot close the gap
+    from there, it starts again with one or two fewer of each size.
+    """
+    best, best_gap = np.zeros(len(sizes), np.int64), None
     total = int((sizes * counts).sum())
     budget = min(budget, total)
-    if budget <= 0 or not len(sizes):
-        return take
-    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    if budget <= 0:
+        return best
+    even = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    for fewer in (0, 1, 2):
+        take = _fit_from(sizes, counts, np.maximum(0, even - fewer), budget, span)
+        gap = budget - int((sizes * take).sum())
+        if best_gap is None or gap < best_gap:
+            best, best_gap = take, gap
+        if best_gap == 0 or fewer >= even.max():
+            break
+    return best
+
+
+def _fit_from(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, span: int) -> np.ndarray:
+    """``take`` made up to ``budget``: the longest first while the gap is beyond ``span``, then by dynamic programming."""
     rest = budget - int((sizes * take).sum())
-    # Longest first while the rest is beyond the span of the program.
     for k in np.argsort(-sizes, kind="stable"):
         if rest <= span:
             break
-        n = min(int(counts[k] - take[k]), (rest - span // 2) // int(sizes[k]))
+        n = min(int(counts[k] - take[k]), (rest - span // 2) // max(1, int(sizes[k])))
         if n > 0:
             take[k] += n
             rest -= n * int(sizes[k])
-    rest_now = min(rest, 8 * span)
+    rest = min(rest, 8 * span)
     # reached[s]: some choice adds up to s; by[s]: the part that reached it first.
-    reached, by, parts = np.zeros(rest_now + 1, bool), np.full(rest_now + 1, -1, np.int64), []
+    reached, by, parts = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int64), []
     reached[0] = True
     for k in np.argsort(sizes, kind="stable"):
         size, free = int(sizes[k]), int(counts[k] - take[k])
-        if size <= 0 or size > rest_now or reached[rest_now]:
+        if size <= 0 or size > rest or reached[rest]:
             continue
-        free, step = min(free, rest_now // size), 1
+        free, step = min(free, rest // size), 1
         while free > 0:
             n = min(step, free)
             new = np.zeros_like(reached)
-            if n * size <= rest_now:
-                new[n * size :] = reached[: rest_now + 1 - n * size]
-                new &= ~reached
-                by[new] = len(parts)
-                reached |= new
-                parts.append((int(k), n))
+            new[n * size :] = reached[: rest + 1 - n * size]
+            new &= ~reached
+            by[new] = len(parts)
+            reached |= new
+            parts.append((int(k), n))
             free -= n
             step *= 2
     s = int(np.flatnonzero(reached)[-1])
@@ -107,12 +121,11 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, span: int = D
 
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each size of a source: passes that all its documents get, and how many get one more."""
     pdf = pdf.sort_values("size", kind="stable")
     sizes, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-    total, target = int((sizes * counts).sum()), float(pdf["target"].iloc[0])
-    passes = min(MAX_PASSES, int(target // total)) if total else 0
-    extra = fit_counts(sizes, counts, int(round(target)) - passes * total if passes < MAX_PASSES else 0)
-    return pdf.assign(passes=passes, extra=np.where(sizes > 0, extra, 0))[["source", "size", "n", "source_size", "target", "passes", "extra"]]
+    take = fit_counts(sizes, MAX_PASSES * counts * (sizes > 0), int(round(float(pdf["target"].iloc[0]))))
+    return pdf.assign(passes=take // counts, extra=take % counts)[["source", "size", "n", "source_size", "target", "passes", "extra"]]
 
 
 def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
