@@ -18,7 +18,7 @@ separately; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,7 +103,7 @@ class Neighbours:
 
 
 def balanced_sample(rows: DataFrame, label: str, per_class: int) -> tuple[DataFrame, float]:
-    """About ``per_class`` rows of each class of ``rows`` (doc_id, text, label), drawn by a hash of the id; the share of label 1 in all."""
+    """About ``per_class`` rows of each class of ``rows`` (doc_id, label), drawn by a hash of the id; the share of label 1 in all."""
     n = {int(r[label]): r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     share = {k: min(1.0, per_class / v) for k, v in n.items()}
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20)) / (1 << 20)
@@ -113,21 +113,23 @@ def balanced_sample(rows: DataFrame, label: str, per_class: int) -> tuple[DataFr
     return rows.where(draw < limit), n.get(1, 0) / sum(n.values()) if n else 0.5
 
 
-def labelled(docs: DataFrame, marks: DataFrame, label: str, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text and label of the rows that may be learned from; equal rows once, other labels dropped."""
-    m = marks.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("m_id")).agg(F.max(label).alias(label))
-    d = docs.where(learn).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return d.join(m, F.col("doc_id") == F.col("m_id")).select("doc_id", "text", label)
+def fit(docs: DataFrame, marks: DataFrame, label: str, learn: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Neighbours:
+    """Fit on a sample of ``marks`` (doc_id, label 0 or 1) for which ``learn(id column)`` holds.
 
+    The sample is drawn before the texts are read, and is small enough to send to
+    every task, so texts are not shuffled.
+    """
+    known = marks.where(F.col(label).isin(0, 1) & learn("doc_id")).groupBy("doc_id").agg(F.max(label).alias("y"))
+    sample, prior = balanced_sample(known, "y", per_class)
+    sample = sample.select(F.col("doc_id").alias("m_id"), "y")
 
-def fit(rows: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS) -> Neighbours:
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "v": [term_counts(t).astype(np.float16).tobytes() for t in b["text"]], "y": b[label]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "v": [term_counts(t).astype(np.float16).tobytes() for t in b["text"]], "y": b["y"]})
 
-    sample, prior = balanced_sample(rows, label, per_class)
-    got = sample.mapInPandas(terms, "doc_id long, v binary, y int").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"]))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("m_id")).select("doc_id", "text", "y")
+    got = rows.mapInPandas(terms, "doc_id long, v binary, y int").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["y"], r["v"]))
     counts = np.array([np.frombuffer(r["v"], np.float16) for r in got], np.float32).reshape(len(got), TERMS)
     return Neighbours(counts, np.array([r["y"] for r in got], np.int64), prior)
 
@@ -159,5 +161,5 @@ def keep_good(docs: DataFrame, model: Neighbours, text: str = "text", least: flo
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit(labelled(docs, labels(spark, sf_dir), "quality", fold("doc_id", 3) != 1), "quality")
+    model = fit(docs, labels(spark, sf_dir), "quality", lambda c: fold(c, 3) != 1)
     return score_documents(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
