@@ -47,13 +47,18 @@ reg(
     "b09_symbol_kinds", lambda v: v.table("nation").withColumn("s", F.upper(F.regexp_replace(F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, "-I").when(F.col("n_nationkey") % 3 == 1, " FUT").otherwise("")), " ", ""))).select("n_nationkey", "s", F.col("s").rlike("^[A-Z0-9_]+-(I|II|III)$").alias("continuous"), F.col("s").contains("FUT").alias("futures")),
     f"SELECT n_nationkey, s, regexp_matches(s, '^[A-Z0-9_]+-(I|II|III)$') AS continuous, contains(s, 'FUT') AS futures FROM (SELECT *, {_SYM} AS s FROM nation)", "n_nationkey s continuous futures",
 )
-_TESTS = {"no_volume": F.col("volume") == 0, "flat": F.col("high") == F.col("low"), "thin": F.col("n_ticks") < 2}
+
+
+def _tests():
+    return {"no_volume": F.col("volume") == 0, "flat": F.col("high") == F.col("low"), "thin": F.col("n_ticks") < 2}
+
+
 reg(
-    "b10_feed_failures", lambda v: v.bars.withColumn("failed", F.array_join(N.reasons(_TESTS), ",")).groupBy("symbol", "failed").agg(F.count("*").alias("n"), F.avg((F.col("volume") == 0).cast("double")).alias("zero_share")),
+    "b10_feed_failures", lambda v: v.bars.withColumn("failed", F.array_join(N.reasons(_tests()), ",")).groupBy("symbol", "failed").agg(F.count("*").alias("n"), F.avg((F.col("volume") == 0).cast("double")).alias("zero_share")),
     "SELECT symbol, concat_ws(',', CASE WHEN volume = 0 THEN 'no_volume' END, CASE WHEN high = low THEN 'flat' END, CASE WHEN n_ticks < 2 THEN 'thin' END) AS failed, count(*) AS n, avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) AS zero_share FROM bars GROUP BY 1, 2", "symbol failed n", "zero_share",
 )
 reg(
-    "b11_row_errors", lambda v: v.bars.select("symbol", "bar_ts", F.posexplode(N.reasons(_TESTS)).alias("pos", "error")),
+    "b11_row_errors", lambda v: v.bars.select("symbol", "bar_ts", F.posexplode(N.reasons(_tests())).alias("pos", "error")),
     "SELECT symbol, bar_ts, CAST(unnest(range(len(e))) AS BIGINT) AS pos, unnest(e) AS error FROM (SELECT *, list_filter([CASE WHEN volume = 0 THEN 'no_volume' END, CASE WHEN high = low THEN 'flat' END, CASE WHEN n_ticks < 2 THEN 'thin' END], lambda x: x IS NOT NULL) AS e FROM bars)", "symbol bar_ts pos error",
 )
 _OPT = "concat('NIFTY', day(o_orderdate), 'JAN', 24, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'CE' ELSE 'PE' END)"
@@ -99,10 +104,17 @@ reg("b28_temporal_split", lambda v: v.trades.where("fold < 1998").groupBy(F.when
 reg("b29_entry_eligible", lambda v: v.bars.where((F.col("slot") >= 2) & (F.col("slot") < 20) & ~F.col("slot").between(11, 12)), "SELECT * FROM bars WHERE slot >= 2 AND slot < 20 AND NOT slot BETWEEN 11 AND 12", "symbol bar_ts slot")
 reg("b31_expected_edge", lambda v: v.scores.select("event_id", (F.col("p") * 40 - (1 - F.col("p")) * 30).alias("long_edge"), ((1 - F.col("p")) * 40 - F.col("p") * 30).alias("short_edge")), "SELECT event_id, p * 40 - (1 - p) * 30 AS long_edge, (1 - p) * 40 - p * 30 AS short_edge FROM scores", "event_id", "long_edge short_edge")
 _ACT = "CASE WHEN p >= 0.55 AND p * 40 - (1 - p) * 30 > 0 AND p * 40 - (1 - p) * 30 >= (1 - p) * 40 - p * 30 THEN 'LONG' WHEN 1 - p >= 0.55 AND (1 - p) * 40 - p * 30 > 0 AND (1 - p) * 40 - p * 30 > p * 40 - (1 - p) * 30 THEN 'SHORT' ELSE 'NO_TRADE' END"
-_P = F.col("p")
-_LE, _SE = _P * 40 - (1 - _P) * 30, (1 - _P) * 40 - _P * 30
-reg("b32_choose_action", lambda v: v.scores.withColumn("action", F.when((_P >= 0.55) & (_LE > 0) & (_LE >= _SE), "LONG").when((1 - _P >= 0.55) & (_SE > 0) & (_SE > _LE), "SHORT").otherwise("NO_TRADE")), f"SELECT event_id, {_ACT} AS action FROM scores", "event_id action")
-reg("b33_confidence", lambda v: v.scores.select("event_id", F.when(_P >= 0.5, "LONG").otherwise("SHORT").alias("side"), (2 * F.abs(_P - 0.5)).alias("confidence"), (2 * F.abs(_P - 0.5) >= 0.3).alias("execute")), "SELECT event_id, CASE WHEN p >= 0.5 THEN 'LONG' ELSE 'SHORT' END AS side, 2 * abs(p - 0.5) AS confidence, 2 * abs(p - 0.5) >= 0.3 AS execute FROM scores", "event_id side execute", "confidence")
+
+
+def _action(v):
+    p = F.col("p")
+    long, short = p * 40 - (1 - p) * 30, (1 - p) * 40 - p * 30
+    side = F.when((p >= 0.55) & (long > 0) & (long >= short), "LONG").when((1 - p >= 0.55) & (short > 0) & (short > long), "SHORT").otherwise("NO_TRADE")
+    return v.scores.withColumn("action", side)
+
+
+reg("b32_choose_action", _action, f"SELECT event_id, {_ACT} AS action FROM scores", "event_id action")
+reg("b33_confidence", lambda v: v.scores.select("event_id", F.when(F.col("p") >= 0.5, "LONG").otherwise("SHORT").alias("side"), (2 * F.abs(F.col("p") - 0.5)).alias("confidence"), (2 * F.abs(F.col("p") - 0.5) >= 0.3).alias("execute")), "SELECT event_id, CASE WHEN p >= 0.5 THEN 'LONG' ELSE 'SHORT' END AS side, 2 * abs(p - 0.5) AS confidence, 2 * abs(p - 0.5) >= 0.3 AS execute FROM scores", "event_id side execute", "confidence")
 reg("b35_order_limits", lambda v: v.table("lineitem").select("l_orderkey", "l_linenumber", F.array_join(N.reasons({"quantity": F.col("l_quantity") > 40, "discount": F.col("l_discount") > 0.08, "tax": F.col("l_tax") > 0.07}), ",").alias("reasons")), "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_quantity > 40 THEN 'quantity' END, CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_tax > 0.07 THEN 'tax' END) AS reasons FROM lineitem", "l_orderkey l_linenumber reasons")
 reg("b36_recommendations", lambda v: v.trades.groupBy("config").agg(F.avg("gross_bps").alias("ev")).select("config", F.when(F.col("ev") > 10, "PICK").otherwise("NO_TRADE").alias("status"), F.when(F.col("ev") > 10, F.floor("ev")).otherwise(0).alias("size")), "SELECT config, CASE WHEN avg(gross_bps) > 10 THEN 'PICK' ELSE 'NO_TRADE' END AS status, CASE WHEN avg(gross_bps) > 10 THEN CAST(floor(avg(gross_bps)) AS BIGINT) ELSE 0 END AS size FROM trades GROUP BY 1", "config status size")
 reg("b38_front_filter", lambda v: v.bars.withColumn("front", F.col("symbol").endswith("k")).withColumn("any_front", F.max("front").over(Window.partitionBy("trade_date"))).where(F.col("front") | ~F.col("any_front")), "SELECT symbol, bar_ts FROM (SELECT *, suffix(symbol, 'k') AS front, max(suffix(symbol, 'k')) OVER (PARTITION BY trade_date) AS af FROM bars) WHERE front OR NOT af", "symbol bar_ts")

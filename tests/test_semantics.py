@@ -92,3 +92,11 @@ def test_feature_package_does_not_look_ahead():
     text = (Path(__file__).parent.parent / "saltmarsh/operators/features.py").read_text()
     label_side = text.index("def eligibility"), text.index("def forward_returns")
     assert text.count("F.lead(") == text[label_side[0] :].count("F.lead(") == 2
+
+
+def test_registration_needs_no_session():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
