@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the one in ``spark.checkpoint.dir``; a folder of our own is
     set only where the session names none (tests on one machine).
+
+    Shuffle files behind an earlier cut are of no more use; Spark deletes them
+    when the driver's collectors find that nothing refers to them, so both run
+    first.
     """
     sc = df.sparkSession.sparkContext
+    gc.collect()
+    sc._jvm.System.gc()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))

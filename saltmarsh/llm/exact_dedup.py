@@ -42,15 +42,15 @@ def filter_bits(n_rows: int, max_bits: int = MAX_BITS) -> int:
     return max(min(MIN_BITS, max_bits), min(wanted, max_bits))
 
 
-def repeat_filter(keys: DataFrame, n_bits: int) -> DataFrame:
-    """Bitmaps (which, chunk, bitmap) of the positions that two or more rows of ``keys.h`` set."""
+def repeat_filter(keys: DataFrame, n_bits: int, least: int = 2) -> DataFrame:
+    """Bitmaps (which, chunk, bitmap) of the positions that ``least`` or more rows of ``keys.h`` set."""
     p = _positions(F.col("h"), n_bits)
     return (
         keys.select(F.explode(F.array(*[F.struct(F.lit(i).alias("which"), c.alias("pos")) for i, c in enumerate(p)])).alias("p"))
         .select("p.which", "p.pos")
         .groupBy("which", "pos")
         .agg(F.count("*").alias("n"))
-        .where("n > 1")
+        .where(F.col("n") >= least)
         .groupBy("which", F.shiftright("pos", _CHUNK).alias("chunk"))
         .agg(F.bitmap_construct_agg(F.col("pos").bitwiseAND(F.lit((1 << _CHUNK) - 1).cast("long"))).alias("bitmap"))
     )

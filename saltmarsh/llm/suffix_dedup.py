@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import cut, documents
+from saltmarsh.llm.exact_dedup import filter_bits, maybe_repeated, repeat_filter
 
 WIDTH = 200
 GRAM = 64
@@ -208,9 +209,20 @@ def _count_digests(contexts: DataFrame, width: int) -> DataFrame:
     return windows.join(twice, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2"))).select("cls", "ctx", F.col("k").alias("first"), F.col("k").alias("last"))
 
 
+def _split_by_key(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents whose rid may be among ``keys.h``, the others), by a bounded, broadcast Bloom filter.
+
+    Only the first need to be shuffled to meet what is stored under their rid.
+    """
+    n_bits = filter_bits(keys.count())
+    tested = maybe_repeated(keyed, cut(repeat_filter(keys, n_bits, 1)), n_bits, "rid")
+    return tested.where("__maybe").drop("__maybe"), tested.where("NOT __maybe").drop("__maybe")
+
+
 def _context_bytes(keyed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cls, ctx, hot and bytes of the wanted runs (rid, loc, cls, ctx, hot)."""
-    of_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("loc", "cls", "ctx", "hot")).alias("runs")).withColumnRenamed("rid", "w_rid")
+    of_doc = cut(wanted.groupBy("rid").agg(F.collect_list(F.struct("loc", "cls", "ctx", "hot")).alias("runs")).withColumnRenamed("rid", "w_rid"))
+    keyed, _ = _split_by_key(keyed, of_doc.select(F.col("w_rid").alias("h")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -231,7 +243,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(F.col(doc_id), t).alias("rid"))
     runs = cut(_runs(keyed.select("rid", "text"), width, gram))
     classes = runs.groupBy("cls").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select(F.col("cls").alias("k_cls"), (F.col("lo") != F.col("hi")).alias("several"))
-    repeated = cut(runs.join(cut(classes), F.col("cls") == F.col("k_cls")).drop("k_cls"))
+    classes = cut(classes)
+    repeated = cut(runs.join(classes, F.col("cls") == F.col("k_cls")).drop("k_cls"))
+    del runs, classes
     contexts = cut(repeated.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.max("several").alias("several")))
     hot = contexts.groupBy("cls").agg(F.count("*").alias("n_ctx")).where(F.col("n_ctx") > HOT).select(F.col("cls").alias("h_cls"))
     sent = contexts.where("several").select(F.col("cls").alias("s_cls"), F.col("ctx").alias("s_ctx"), F.col("rid").alias("s_rid"))
@@ -242,7 +256,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .join(cut(hot), F.col("cls") == F.col("h_cls"), "left")
         .select("rid", "loc", "cls", "ctx", F.col("h_cls").isNotNull().alias("hot"))
     )
-    sent_bytes = cut(_context_bytes(keyed, wanted, width).dropDuplicates(["cls", "ctx"]))
+    # Rows that repeat doc_id and text send a context twice, but such a context is repeated as a whole anyway.
+    sent_bytes = cut(_context_bytes(keyed, wanted, width))
     partly = _scan(sent_bytes.where("NOT hot").drop("hot"), width).unionByName(_count_digests(sent_bytes.where("hot").drop("hot"), width))
     whole = contexts.where("n > 1").select("cls", "ctx", F.lit(0).alias("first"), F.lit(-1).alias("last"))
     found = (
@@ -278,7 +293,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 out.append((doc, len(raw), len(raw) - len(rest), n_spans, rest))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = keyed.join(of_doc, F.col("rid") == F.col("s_rid"), "left").select("doc_id", "text", "spans")
+    del spans
+    some, others = _split_by_key(keyed, of_doc.select(F.col("s_rid").alias("h")))
+    met = some.join(of_doc, F.col("rid") == F.col("s_rid"), "left").select("doc_id", "text", "spans")
+    joined = met.unionByName(others.select("doc_id", "text", F.lit(None).cast(met.schema["spans"].dataType).alias("spans")))
     return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
