@@ -80,7 +80,7 @@ def keep_disjoint(df: DataFrame, keys: list[str], start: str, end: str) -> DataF
         spans, F.struct(F.lit(-1).cast("long").alias("until"), F.array().cast("array<bigint>").alias("k")),
         lambda acc, x: F.when(x["s"] > acc["until"], F.struct(x["e"].alias("until"), F.concat(acc["k"], F.array(x["s"])).alias("k"))).otherwise(acc),
     )["k"]
-    return df.groupBy(*keys).agg(kept.alias("k")).select(*keys, F.explode("k").alias(start))
+    return df.groupBy(*keys).agg(kept.alias("__kept")).select(*keys, F.explode("__kept").alias(start))
 
 
 def daily_admission(df: DataFrame, keys: list[str], order: str, pnl: str, most: int, halt: float) -> DataFrame:
@@ -91,7 +91,7 @@ def daily_admission(df: DataFrame, keys: list[str], order: str, pnl: str, most:
         trades, acc0,
         lambda a, x: F.when((a["n"] < most) & (a["sum"] > halt), F.struct((a["n"] + 1).alias("n"), (a["sum"] + x["p"]).alias("sum"), F.concat(a["k"], F.array(x["o"])).alias("k"))).otherwise(a),
     )["k"]
-    return df.groupBy(*keys).agg(kept.alias("k")).select(*keys, F.explode("k").alias(order))
+    return df.groupBy(*keys).agg(kept.alias("__kept")).select(*keys, F.explode("__kept").alias(order))
 
 
 def viability(df: DataFrame, keys: list[str], order: str, horizon: int, geometries: list[tuple[float, float]], cost_bps: float) -> DataFrame:
