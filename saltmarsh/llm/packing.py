@@ -21,6 +21,7 @@ packed separately; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -81,6 +82,15 @@ class Tokenizer:
         return b"".join(out)
 
 
+    def encode_with(self, added: dict[str, int], text: str) -> bytes:
+        """As ``encode``, with each literal of ``added`` as its own id; the texts around it are encoded apart."""
+        if not any(a in text for a in added):
+            return self.encode(text)
+        # Longer literals first, as the library takes the leftmost and longest.
+        parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+        return b"".join(np.array([added[p]], "<u2").tobytes() if p in added else self.encode(p) for p in parts if p)
+
+
 _tokenizers: dict[str, Tokenizer] = {}
 
 
@@ -93,14 +103,23 @@ def _tokenizer(ranks_path: str | None) -> Tokenizer:
     return _tokenizers[path]
 
 
+def added_tokens() -> dict[str, int]:
+    """The vocabulary's added tokens, which its library finds in texts before anything else."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, ranks_path: str | None = None) -> DataFrame:
     """doc_id, ids, doc_tokens, part, tail, tail_rank, windows, windows_before (the last three within the part)."""
+    added = added_tokens()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok, part, seen, before = _tokenizer(ranks_path), TaskContext.get().partitionId(), {}, 0
         end = np.array([END_ID], "<u2").tobytes()
         for b in batches:
-            ids = [tok.encode(t or "") + end for t in b["text"]]
+            ids = [tok.encode_with(added, t or "") + end for t in b["text"]]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             tail, whole = n % window, n // window
             rank = np.zeros(len(n), np.int64)
