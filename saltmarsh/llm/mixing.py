@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import cut, documents, word_count
@@ -162,18 +162,25 @@ def mix_plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the plan takes it."""
     plan = mix_plan(docs, doc_id, text, source, seed)
-    # Rows that share an id are interchangeable only if they are equal in all columns; their passes are added up and dealt out evenly.
+    # Rows that share an id, size and source are interchangeable in the plan; their passes are added up and dealt out evenly.
     passes = cut(
-        plan.where("taken > 0")
-        .groupBy("doc_id", F.col("size").alias("__size"), "source")
-        .agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__passes"), F.count("*").alias("__rows"))
+        plan.groupBy("doc_id", F.col("size").alias("__size"), "source")
+        .agg(F.sum(F.when(F.col("taken") > 0, F.col("taken") / F.col("size"))).cast("int").alias("__passes"), F.count("*").alias("__rows"))
+        .where("__passes > 0")
         .select(F.col("doc_id").alias("__doc"), "__size", F.col("source").alias("__source"), "__passes", "__rows")
     )
-    return (
-        docs.join(passes, (F.col(doc_id) == F.col("__doc")) & (word_count(text) == F.col("__size")) & F.col(source).eqNullSafe(F.col("__source")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__passes") / F.col("__rows")).cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    is_row = F.col(doc_id).eqNullSafe(F.col("__doc")) & (word_count(text) == F.col("__size")) & F.col(source).eqNullSafe(F.col("__source"))
+
+    def copied(rows: DataFrame, copies: Column) -> DataFrame:
+        return rows.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    once = copied(docs.join(passes.where("__rows = 1"), is_row), F.col("__passes"))
+    if passes.where("__rows > 1").isEmpty():
+        return once
+    several = docs.join(passes.where("__rows > 1"), is_row)
+    rank = F.row_number().over(Window.partitionBy("__doc", "__size", "__source").orderBy(F.xxhash64(text)))
+    dealt = F.floor(F.col("__passes") / F.col("__rows")) + (rank <= F.col("__passes") % F.col("__rows")).cast("int")
+    return once.unionByName(copied(several, dealt))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
