@@ -1,8 +1,8 @@
 """Quality rules: base counts of each text, then cross-document line frequency.
 
 Lines are normalised (lower case, runs of white space to one space, trimmed),
-hashed, and counted in distinct documents per host.  Lines above the limit are
-taken out, and a document that loses too much is rejected.  Copies of one text
+hashed, and counted in distinct documents per host.  Lines above the limit, a
+share of the host's documents with a small floor, are taken out, and a document that loses too much is rejected.  Copies of one text
 count as one document, so that a copied article is not its own boilerplate;
 removing copies is another operator's task.
 
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from saltmarsh.llm.common import cut, documents
 
-#: A line in more distinct documents of one host than this is boilerplate.
-MAX_DOCS_PER_HOST = 100
+#: A line in more than this share of a host's distinct documents is boilerplate ...
+MAX_SHARE_OF_HOST = 0.05
+#: ... but never one in this many or fewer.
+MIN_DOCS_OF_HOST = 10
 #: A document whose words outside boilerplate lines are a smaller share than this is depleted.
 MIN_SHARE_LEFT = 0.3
 MIN_WORDS = 50
@@ -64,20 +66,27 @@ def base_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hos
     ).select("doc_id", "host", "text_hash", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "lines")
 
 
-def frequent_lines(base: DataFrame, max_docs: int) -> DataFrame:
-    """(host, line) pairs that more than ``max_docs`` distinct documents of the host have."""
-    return (
+def frequent_lines(base: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """(host, line) pairs that more than ``max_docs`` and more than ``max_share`` of the distinct documents of the host have."""
+    lines = (
         base.select("host", "text_hash", F.explode("lines.line").alias("line"))
         .groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one"))
         .groupBy("host", "line").agg(F.count("*").alias("n_docs"))
         .where(F.col("n_docs") > max_docs)
     )
+    hosts = (
+        base.groupBy("host", "text_hash").agg(F.lit(1).alias("one"))
+        .groupBy("host").agg(F.count("*").alias("host_docs"))
+        .select(F.col("host").alias("h_host"), "host_docs")
+    )
+    joined = lines.join(hosts, F.col("host").eqNullSafe(F.col("h_host")))
+    return joined.where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MIN_DOCS_OF_HOST, max_share: float = MAX_SHARE_OF_HOST, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
     """Counts and verdict of every document; words_left are those outside boilerplate lines."""
     base = cut(base_counts(docs, doc_id, text, host))
-    frequent = cut(frequent_lines(base, max_docs)).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
+    frequent = cut(frequent_lines(base, max_docs, max_share)).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     # A line that is in many documents is a hot key: AQE splits it, as neither side is more than an exchange.
     lost = (
         base.select("doc_id", "host", "text_hash", F.explode("lines").alias("l"))
