@@ -85,19 +85,19 @@ def frequent_lines(base: DataFrame, max_docs: int, max_share: float) -> DataFram
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MIN_DOCS_OF_HOST, max_share: float = MAX_SHARE_OF_HOST, min_share_left: float = MIN_SHARE_LEFT) -> DataFrame:
     """Counts and verdict of every document; words_left are those outside boilerplate lines."""
-    base = cut(base_counts(docs, doc_id, text, host))
+    # Rows that repeat doc_id and text lose their lines each on its own, so rows are told apart by a number.
+    base = cut(base_counts(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id()))
     frequent = cut(frequent_lines(base, max_docs, max_share)).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
     # A line that is in many documents is a hot key: AQE splits it, as neither side is more than an exchange.
     lost = (
-        base.select("doc_id", "host", "text_hash", F.explode("lines").alias("l"))
+        base.select("row", "host", F.explode("lines").alias("l"))
         .join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("l.line") == F.col("f_line")))
-        .groupBy("doc_id", "host", "text_hash")
+        .groupBy("row")
         .agg(F.sum("l.words").alias("lost"))
-        .select(F.col("doc_id").alias("o_doc"), F.col("host").alias("o_host"), F.col("text_hash").alias("o_hash"), "lost")
+        .select(F.col("row").alias("o_row"), "lost")
     )
-    # Rows that repeat doc_id and text add up their lines; copies divides that again.
     counts = base.drop("lines")
-    joined = counts.join(lost, F.col("doc_id").eqNullSafe(F.col("o_doc")) & F.col("host").eqNullSafe(F.col("o_host")) & (F.col("text_hash") == F.col("o_hash")), "left")
+    joined = counts.join(lost, F.col("row") == F.col("o_row"), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.greatest(F.lit(0).cast("long"), F.col("n_words") - F.coalesce("lost", F.lit(0)))
     return joined.select(
