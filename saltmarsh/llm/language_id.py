@@ -11,8 +11,9 @@ all n-grams of one to three letters are places in one count vector.
 
 Defined cases: a null text, or one without a letter, gives ``und`` with score 0;
 ties go to the language first in code-point order; a table without labelled rows
-gives ``und`` throughout; repeated rows are judged separately; an empty table
-gives an empty result.
+gives ``und`` throughout; a null id is carried as null; repeated rows are judged
+separately; an empty table gives an empty result; other columns, whatever their
+names, take no part.
 """
 
 from __future__ import annotations
@@ -20,19 +21,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import documents, fold
+from saltmarsh.llm.common import documents, fold, map_texts, slices
 
 PROFILE = 300
 #: Labelled documents that a language's profile is learned from, about.
 SAMPLE_PER_LANGUAGE = 1000
 _CLASSES = 64
 _SIZE = _CLASSES + _CLASSES**2 + _CLASSES**3
-#: Letters taken at a time, so that very long texts need no more memory.
-_STRETCH = 1 << 20
+#: Letters taken at a time, so that very long texts need little more memory than their letters.
+STRETCH = 1 << 20
 _letters: list[np.ndarray] = []
 
 
@@ -47,17 +48,28 @@ def _letter_classes() -> np.ndarray:
     return _letters[0]
 
 
-def gram_counts(text: str | None) -> np.ndarray:
-    """Counts of all n-grams of one to three letters, words set off by one boundary."""
+def letter_codes(text: str, stretch: int = STRETCH) -> np.ndarray:
+    """Classes of the text's letters in order, with one 0 before, between and after words."""
+    classes = _letter_classes()
+    parts = [classes[np.frombuffer(text[i : i + stretch].encode("utf-32-le", "surrogatepass"), "<u4")] for i in range(0, len(text), stretch)]
+    a = np.concatenate([np.zeros(1, np.uint8), *parts, np.zeros(1, np.uint8)])
+    return a[np.concatenate([[True], (a[1:] > 0) | (a[:-1] > 0)])]
+
+
+def gram_counts(text: str | None, stretch: int = STRETCH) -> np.ndarray:
+    """Counts of all n-grams of one to three letters, words set off by one boundary.
+
+    Stretches share no n-gram, as each takes those that start in it; so the counts
+    do not depend on the length of a stretch.
+    """
     counts = np.zeros(_SIZE, np.int64)
-    classes, text = _letter_classes(), (text or "").lower()
-    for i in range(0, len(text), _STRETCH):
-        code = classes[np.frombuffer(text[max(0, i - 2) : i + _STRETCH].encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int64)
-        skip = min(i, 2)
-        a = np.concatenate([[0], code, [0]]) if not skip else np.concatenate([code, [0]])
-        a = a[np.concatenate([[True], (a[1:] > 0) | (a[:-1] > 0)])]
-        two, three = a[:-1] * _CLASSES + a[1:], a[:-2] * _CLASSES**2 + a[1:-1] * _CLASSES + a[2:]
-        counts += np.bincount(np.concatenate([a[a > 0], two + _CLASSES, three[a[1:-1] > 0] + _CLASSES + _CLASSES**2]), minlength=_SIZE)
+    codes = letter_codes((text or "").lower(), stretch)
+    for i in range(0, len(codes), stretch):
+        a = codes[i : i + stretch + 2].astype(np.int64)
+        one, two, three = a[:stretch], a[:-1][:stretch], a[:-2]
+        two, middle = two * _CLASSES + a[1 : len(two) + 1], a[1 : len(three) + 1]
+        three = three * _CLASSES**2 + middle * _CLASSES + a[2:]
+        counts += np.bincount(np.concatenate([one[one > 0], two + _CLASSES, three[middle > 0] + _CLASSES + _CLASSES**2]), minlength=_SIZE)
     return counts
 
 
@@ -80,16 +92,16 @@ def learn_profiles(docs: DataFrame, doc_id: str, text: str, lang: str, learn: "F
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
-            for t, g in zip(b["text"], b["lang"], strict=True):
+        for b in slices(batches):
+            for t, g in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 total[g] = total.get(g, 0) + gram_counts(t)
         for g, c in total.items():
             at = np.flatnonzero(c)
-            yield pd.DataFrame({"lang": g, "gram": at, "n": c[at]})
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "gram", "n"])
 
-    grams = rows.where(draw < limit).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = rows.where(draw < limit).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = grams.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "gram"))), 1, profile)["gram"].alias("grams"))
     return {r["lang"]: list(r["grams"]) for r in sorted(best.collect(), key=lambda r: r["lang"].encode())}
 
@@ -99,29 +111,28 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     ranks: list[np.ndarray] = []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_columns(texts: list[str | None]) -> list[pa.Array]:
         names = list(shared.value)
         if not ranks:
             table = np.full((len(names), _SIZE), profile, np.int32)
             for i, grams in enumerate(shared.value.values()):
                 table[i, grams] = np.arange(len(grams))
             ranks.append(table)
-        for b in batches:
-            pred, score = [], []
-            for t in b["text"]:
-                own = top_grams(gram_counts(t), profile)
-                if not len(own) or not names:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                there = ranks[0][:, own]
-                d = np.where(there < profile, np.abs(there - np.arange(len(own))), profile).sum(1)
-                i = int(d.argmin())
-                pred.append(names[i])
-                score.append(1.0 - float(d[i]) / (profile * len(own)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": pred, "score": score})
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+        pred, score = [], []
+        for t in texts:
+            own = top_grams(gram_counts(t), profile)
+            if not len(own) or not names:
+                pred.append("und")
+                score.append(0.0)
+                continue
+            there = ranks[0][:, own]
+            d = np.where(there < profile, np.abs(there - np.arange(len(own))), profile).sum(1)
+            i = int(d.argmin())
+            pred.append(names[i])
+            score.append(1.0 - float(d[i]) / (profile * len(own)))
+        return [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+
+    return map_texts(docs, doc_id, text, to_columns, "lang_pred string, score double")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ labelled documents over its share of the sample.
 
 Defined cases: a null text is empty; an empty text is projected like any other
 and has the neutral score if its vector is zero; without labelled rows of both
-classes every score is the share of label 1, or 0.5; repeated rows are scored
-separately; an empty table gives an empty result.
+classes every score is the share of label 1, or 0.5; of ties at the last of the
+nearest any may vote; a null id is scored like any other; repeated rows are scored
+separately; an empty table gives an empty result; other columns, whatever their
+names, take no part.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import documents, fold, labels
+from saltmarsh.llm.common import documents, fold, labels, map_texts, slices
 
 #: Labelled documents of each class that the classifier is fitted on, about.
 SAMPLE_PER_CLASS = 1200
@@ -123,28 +126,32 @@ def fit(docs: DataFrame, marks: DataFrame, label: str, learn: Callable[[str], Co
     sample, prior = balanced_sample(known, "y", per_class)
     sample = sample.select(F.col("doc_id").alias("m_id"), "y")
 
-    def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "v": [term_counts(t).astype(np.float16).tobytes() for t in b["text"]], "y": b["y"]})
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            v = [term_counts(t).astype(np.float16).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(v, pa.binary()), b.column("y")], ["doc_id", "v", "y"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("m_id")).select("doc_id", "text", "y")
-    got = rows.mapInPandas(terms, "doc_id long, v binary, y int").collect()
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("m_id")).select("doc_id", "text", "y")
+    # Rows that repeat an id or a text count once, so that no more than the sample reaches the driver.
+    got = rows.mapInArrow(terms, "doc_id long, v binary, y int").groupBy("doc_id").agg(F.min(F.struct("v", "y")).alias("r")).select("doc_id", "r.v", "r.y").collect()
     got.sort(key=lambda r: (r["doc_id"], r["y"], r["v"]))
     counts = np.array([np.frombuffer(r["v"], np.float16) for r in got], np.float32).reshape(len(got), TERMS)
     return Neighbours(counts, np.array([r["y"] for r in got], np.int64), prior)
 
 
+def _scores(model: Neighbours, texts: list[str | None]) -> np.ndarray:
+    """Scores of the texts, whose cosines are computed in blocks."""
+    blocks = [model.score(np.array([term_counts(t) for t in texts[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)]
+    return np.clip(np.concatenate([np.zeros(0), *blocks]), 0.0, 1.0)
+
+
 def score_documents(docs: DataFrame, model: Neighbours, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), BLOCK):
-                part = b.iloc[i : i + BLOCK]
-                s = shared.value.score(np.array([term_counts(t) for t in part["text"]]))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": np.clip(s, 0.0, 1.0)})
+    def to_columns(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(_scores(shared.value, texts), pa.float64())]
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return map_texts(docs, doc_id, text, to_columns, "score double")
 
 
 def keep_good(docs: DataFrame, model: Neighbours, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -153,8 +160,7 @@ def keep_good(docs: DataFrame, model: Neighbours, text: str = "text", least: flo
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        out = [shared.value.score(np.array([term_counts(t) for t in texts.iloc[i : i + BLOCK]])) for i in range(0, len(texts), BLOCK)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pd.Series(_scores(shared.value, texts.tolist()))
 
     return docs.where(score(F.col(text)) >= least)
 

@@ -21,16 +21,15 @@ sequence; repeated rows share a fingerprint; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import cut, documents
+from saltmarsh.llm.common import cut, documents, map_texts
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -61,12 +60,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            f = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": f.view(np.int64)})
+    def to_columns(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))]
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return map_texts(docs, doc_id, text, to_columns, "fp long")
 
 
 def block_masks(n_rows: int, max_bits: int = MAX_BITS) -> list[int]:

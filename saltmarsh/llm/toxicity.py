@@ -16,8 +16,9 @@ texts.  Both training sets are bounded samples; vocabulary and weights are
 broadcast (VOCABULARY entries).
 
 Defined cases: a null text is empty; an empty text gets the score of the bias
-alone; without positives every score is 0; repeated rows are scored separately;
-an empty table gives an empty result.
+alone; without positives every score is that of a bias of -30, next to 0; a null id
+is scored like any other; repeated rows are scored separately; an empty table gives
+an empty result; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import cut, documents, fold, labels
+from saltmarsh.llm.common import cut, documents, fold, labels, map_texts, slices
 
 #: Rows that the classifier is fitted on, about.
 POSITIVES, UNLABELLED = 2000, 8000
@@ -96,22 +97,29 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_words
 
 
 def fit(docs: DataFrame, marks: DataFrame, learn: Callable[[str], Column], doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Words:
-    rows = docs.where(learn(doc_id)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.where(learn(doc_id)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     m = marks.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("m_id")).agg(F.max(label).alias("y"))
     known = m.where(learn("m_id")).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
     if not known["p"]:
         return Words({}, -30.0)
     prior, n_rows = known["p"] / known["n"], rows.count()
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    toxic = m.where("y = 1").select("m_id")
-    pos = rows.join(toxic, F.col("doc_id") == F.col("m_id")).where(draw < min(1.0, POSITIVES / known["p"])).select("doc_id", "text", F.lit(1).alias("p"))
-    unl = rows.where(draw < min(1.0, UNLABELLED / n_rows)).select("doc_id", "text", F.lit(0).alias("p"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "p": b["p"], "words": [sorted(words_of(t)) for t in b["text"]]})
+    def drawn(c: str, share: float) -> Column:
+        return F.pmod(F.xxhash64(F.lit(5), c), F.lit(1 << 20)) / (1 << 20) < min(1.0, share)
+
+    # Both samples are drawn by id before a text is read; the ids of positives are about POSITIVES.
+    toxic = m.where(F.col("y") == 1).where(learn("m_id") & drawn("m_id", POSITIVES / known["p"])).select("m_id", F.lit(True).alias("is_p"))
+    marked = rows.join(F.broadcast(toxic), F.col("doc_id") == F.col("m_id"), "left").withColumn("is_u", drawn("doc_id", UNLABELLED / n_rows))
+    chosen = marked.where(F.col("is_p") | F.col("is_u")).select("text", F.coalesce("is_p", F.lit(False)).alias("is_p"), "is_u")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = pa.array([sorted(words_of(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("is_p"), b.column("is_u"), found], ["is_p", "is_u", "words"])
 
-    sample = cut(pos.unionByName(unl).mapInPandas(split, "doc_id long, p int, words array<string>"))
+    both = chosen.mapInArrow(split, "is_p boolean, is_u boolean, words array<string>")
+    # A positive that is drawn for the unlabelled set as well is in both.
+    sample = cut(both.where("is_p").select(F.lit(1).alias("p"), "words").unionByName(both.where("is_u").select(F.lit(0).alias("p"), "words")))
     n_pos, n_unl = (sample.where(F.col("p") == k).count() for k in (1, 0))
     df = sample.select("p", F.explode("words").alias("w")).groupBy("w").agg(F.count_if(F.col("p") == 1).alias("in_p"), F.count_if(F.col("p") == 0).alias("in_u")).where(F.col("in_p") + F.col("in_u") >= MIN_DOCUMENTS)
     share = (F.col("in_p") + F.col("in_u")) / max(1, n_pos + n_unl)
@@ -120,12 +128,13 @@ def fit(docs: DataFrame, marks: DataFrame, learn: Callable[[str], Column], doc_i
     index = {w: i for i, w in enumerate(vocabulary)}
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "p": b["p"], "at": [np.array([shared.value[w] for w in ws if w in shared.value], "<i4").tobytes() for ws in b["words"]]})
+            at = [np.array(sorted(shared.value[w] for w in ws if w in shared.value), "<i4").tobytes() for ws in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("p"), pa.array(at, pa.binary())], ["p", "at"])
 
-    coded = sample.mapInPandas(encode, "doc_id long, p int, at binary").collect()
-    coded.sort(key=lambda r: (r["p"], r["doc_id"]))
+    coded = sample.mapInArrow(encode, "p int, at binary").collect()  # at most about POSITIVES + UNLABELLED rows
+    coded.sort(key=lambda r: (r["p"], r["at"]))
     sides = [[np.frombuffer(r["at"], "<i4") for r in coded if r["p"] == k] for k in (1, 0)]
     w, b = train_nnpu(sides[0], sides[1], len(vocabulary), prior)
     return Words({x: float(w[i]) for x, i in index.items() if w[i]}, b)
@@ -134,11 +143,7 @@ def fit(docs: DataFrame, marks: DataFrame, learn: Callable[[str], Column], doc_i
 def score_documents(docs: DataFrame, model: Words, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [shared.value.score(t) for t in b["text"]]})
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, score double")
+    return map_texts(docs, doc_id, text, lambda texts: [pa.array([shared.value.score(t) for t in texts], pa.float64())], "score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
