@@ -14,8 +14,10 @@
 
 Padding is at most one window in all, as every other window is filled exactly.
 
-Defined cases: a null text is empty and has only the end token; repeated rows are
-packed separately; an empty table gives an empty result.
+Defined cases: a null text is empty and has only the end token; a null id is
+carried as null; repeated rows are packed separately; very long texts are encoded
+and batches are taken a few megabytes at a time; an empty table gives an empty
+result; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -23,64 +25,62 @@ from __future__ import annotations
 import base64
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import cut, documents
+from saltmarsh.llm.common import cut, documents, slices
 
 WINDOW = 1024
 END_ID = 0
-#: Words whose ids a worker keeps.
-CACHED_WORDS = 500_000
 NNLS_STEPS = 300
+#: Characters that are encoded at a time, about.
+STRETCH = 1 << 20
 
-_SPLITS = re.compile(r"\s\s|[^\S \n]")  # runs of white space, and white space but space and line feed
+#: The vocabulary's own split never joins text across a single space between two words.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: A long run of white space (by Unicode) is one piece up to its last character, which goes with what follows;
+#: the split's own expression is too deep for such runs.
+_LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 class Tokenizer:
-    """Ids of the public byte-level BPE vocabulary, as little-endian unsigned 16-bit integers.
-
-    The vocabulary's own split never joins text across a single space or line
-    feed between two words, so words are encoded one by one and kept; other texts
-    are encoded as a whole.
-    """
+    """Ids of the public byte-level BPE vocabulary, as little-endian unsigned 16-bit integers."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        self._encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._words: dict[str, bytes] = {}
-        self._line = self._ids("\n")
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u2").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids = self._ids(word)
-        if len(self._words) < CACHED_WORDS and len(word) < 32:
-            self._words[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if _SPLITS.search(text):
-            return self._ids(text)
-        get, word, out = self._words.get, self._word, []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self._line)
-            first, *rest = line.split(" ")
-            if first:
-                out.append(get(first) or word(first))
-            out += [get(w) or word(w) for w in map(" ".__add__, rest)]
-        return b"".join(out)
-
+        self._tokens = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        a = array("H", ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a.tobytes()
+
+    def _stretches(self, text: str, stretch: int) -> Iterator[bytes]:
+        at = 0
+        while len(text) - at > stretch and (m := _BETWEEN.search(text, at + stretch)):
+            yield self._bytes(self._tokens.encode_ordinary(text[at : m.start()]))
+            at = m.start()
+        yield self._bytes(self._tokens.encode_ordinary(text[at:]))
+
+    def encode(self, text: str, stretch: int = STRETCH) -> bytes:
+        out, at = [], 0
+        for m in _LONG_GAP.finditer(text):
+            last = m.end() if m.end() == len(text) else m.end() - 1
+            out += [*self._stretches(text[at : m.start()], stretch), self._bytes(self._tokens._encode_single_piece(text[m.start() : last]))]
+            at = last
+        return b"".join([*out, *self._stretches(text[at:], stretch)])
 
     def encode_with(self, added: dict[str, int], text: str) -> bytes:
         """As ``encode``, with each literal of ``added`` as its own id; the texts around it are encoded apart."""
@@ -115,11 +115,11 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     """doc_id, ids, doc_tokens, part, tail, tail_rank, windows, windows_before (the last three within the part)."""
     added = added_tokens()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, seen, before = _tokenizer(ranks_path), TaskContext.get().partitionId(), {}, 0
         end = np.array([END_ID], "<u2").tobytes()
-        for b in batches:
-            ids = [tok.encode_with(added, t or "") + end for t in b["text"]]
+        for b in slices(batches):
+            ids = [tok.encode_with(added, t or "") + end for t in b.column("text").to_pylist()]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             tail, whole = n % window, n // window
             rank = np.zeros(len(n), np.int64)
@@ -128,10 +128,11 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
                 seen[t] = rank[i] + 1
             starts = before + np.cumsum(whole) - whole
             before += int(whole.sum())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids, "doc_tokens": n, "part": part, "tail": tail, "tail_rank": rank, "windows": whole, "windows_before": starts})
+            columns = {"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.binary()), "doc_tokens": n, "part": np.full(len(n), part, np.int32), "tail": tail, "tail_rank": rank, "windows": whole, "windows_before": starts}
+            yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
     schema = "doc_id long, ids binary, doc_tokens long, part int, tail long, tail_rank long, windows long, windows_before long"
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def exact_patterns(window: int) -> np.ndarray:
@@ -266,11 +267,12 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ).join(bases, F.col("s_part") == F.col("b_part"))
     placed = tokens.join(cut(starts), (F.col("part") == F.col("s_part")) & (F.col("tail") == F.col("s_tail")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = places.value
-        for b in batches:
+        types = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
+        for b in slices(batches, "ids"):
             out = []
-            for doc, ids, n, tail, rank, whole, seq in zip(b["doc_id"], b["ids"], b["doc_tokens"], b["tail"], b["rank"], b["windows"], b["sequence"], strict=True):
+            for doc, ids, n, tail, rank, whole, seq in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "doc_tokens", "tail", "rank", "windows", "sequence")), strict=True):
                 wide = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 for k in range(whole):
                     out.append((doc, k * window, window, wide[4 * k * window : 4 * (k + 1) * window], n, seq + k, 0))
@@ -278,11 +280,11 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 for length, s, at in where.of(tail, rank) if tail else ():
                     out.append((doc, start, length, wide[4 * start : 4 * (start + length)], n, s, at))
                     start += length
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], list(types))
 
     return placed.select(
         "doc_id", "ids", "doc_tokens", "tail", (F.col("tail_rank") + F.col("rank_base")).alias("rank"), "windows", (F.col("windows_before") + F.col("window_base")).alias("sequence")
-    ).mapInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    ).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def packed_digest(docs: DataFrame, **kw) -> DataFrame:
