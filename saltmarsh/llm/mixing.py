@@ -1,9 +1,9 @@
 """Mix sources to target weights by subset-sum budget fitting.
 
 Sizes are counted per source and exact length, and each document may be taken up
-to MAX_PASSES times.  A target is filled in proportion over the lengths, then by
-the longest documents that still fit, and a bounded-knapsack dynamic program over
-what each length still offers closes the gap.  Within a length the documents with
+to MAX_PASSES times.  A target is filled in proportion over the lengths, and a
+bounded-knapsack dynamic program over what each length still offers closes the
+gap; where it cannot, the fit starts again from fewer documents, at last from none.  Within a length the documents with
 the smallest seeded hashes are taken once more than the others.
 
 One group of copies may hold a third of a source at one length: the rank inside
@@ -29,8 +29,8 @@ WEIGHTS = (5, 2, 1)
 SHARE_NUM, SHARE_DEN = 3, 2
 MAX_PASSES = 2
 SEED = 20260
-#: Words that the dynamic program spans at most.
-DP_SPAN = 1 << 15
+#: Steps that the dynamic program spans at most; a longer gap is first filled with long documents.
+DP_CELLS = 1 << 22
 BUCKET_ROWS = 64
 
 
@@ -61,44 +61,56 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, span: int = DP_SPAN) -> np.ndarray:
+def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, cells: int = DP_CELLS) -> np.ndarray:
     """How many documents of each size to take so that their sizes add up to ``budget``, or as near below as can be.
 
-    Starts in proportion to the counts; where the program cannot close the gap
-    from there, it starts again with one or two fewer of each size.
+    Starts in proportion to the counts.  Where the program cannot close the gap
+    from there, it starts again with fewer of each size: 1, 2, 4 and so on, and
+    at last with none, which is the exact program over the whole budget.
     """
-    best, best_gap = np.zeros(len(sizes), np.int64), None
+    best = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
-    budget = min(budget, total)
-    if budget <= 0:
+    budget = min(int(budget), total)
+    used = (sizes > 0) & (counts > 0)
+    if budget <= 0 or not used.any():
         return best
-    even = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    for fewer in (0, 1, 2):
-        take = _fit_from(sizes, counts, np.maximum(0, even - fewer), budget, span)
+    unit = int(np.gcd.reduce(sizes[used]))
+    best_gap = budget
+    even = np.array([int(c) * budget // total for c in counts.tolist()], np.int64) * used
+    fewer = 0
+    while best_gap >= unit:
+        take = _fit_from(sizes, counts, np.maximum(0, even - fewer), budget, unit, cells)
         gap = budget - int((sizes * take).sum())
-        if best_gap is None or gap < best_gap:
+        if gap < best_gap:
             best, best_gap = take, gap
-        if best_gap == 0 or fewer >= even.max():
+        if fewer >= even.max():
             break
+        fewer = max(1, 2 * fewer)
     return best
 
 
-def _fit_from(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, span: int) -> np.ndarray:
-    """``take`` made up to ``budget``: the longest first while the gap is beyond ``span``, then by dynamic programming."""
-    rest = budget - int((sizes * take).sum())
-    for k in np.argsort(-sizes, kind="stable"):
-        if rest <= span:
+def _fit_from(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int, unit: int, cells: int) -> np.ndarray:
+    """``take`` made up to ``budget`` by dynamic programming over the gap in steps of ``unit``.
+
+    A gap of more than ``cells`` steps is first filled with the longest that fit.
+    """
+    take = take.copy()
+    rest = (budget - int((sizes * take).sum())) // unit
+    steps = sizes // unit
+    for k in np.argsort(-steps, kind="stable"):
+        if rest <= cells:
             break
-        n = min(int(counts[k] - take[k]), (rest - span // 2) // max(1, int(sizes[k])))
-        if n > 0:
+        if steps[k] > 0:
+            n = min(int(counts[k] - take[k]), rest // int(steps[k]))
             take[k] += n
-            rest -= n * int(sizes[k])
-    rest = min(rest, 8 * span)
+            rest -= n * int(steps[k])
+    if rest > cells:  # every document that is left is longer than the gap
+        return take
     # reached[s]: some choice adds up to s; by[s]: the part that reached it first.
-    reached, by, parts = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int64), []
+    reached, by, parts = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int32), []
     reached[0] = True
-    for k in np.argsort(sizes, kind="stable"):
-        size, free = int(sizes[k]), int(counts[k] - take[k])
+    for k in np.argsort(steps, kind="stable"):
+        size, free = int(steps[k]), int(counts[k] - take[k])
         if size <= 0 or size > rest or reached[rest]:
             continue
         free, step = min(free, rest // size), 1
@@ -116,7 +128,7 @@ def _fit_from(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: i
     while s > 0:
         k, n = parts[by[s]]
         take[k] += n
-        s -= n * int(sizes[k])
+        s -= n * int(steps[k])
     return take
 
 
@@ -164,22 +176,27 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     plan = mix_plan(docs, doc_id, text, source, seed)
     # Rows that share an id, size and source are interchangeable in the plan; their passes are added up and dealt out evenly.
     passes = cut(
-        plan.groupBy("doc_id", F.col("size").alias("__size"), "source")
-        .agg(F.sum(F.when(F.col("taken") > 0, F.col("taken") / F.col("size"))).cast("int").alias("__passes"), F.count("*").alias("__rows"))
-        .where("__passes > 0")
-        .select(F.col("doc_id").alias("__doc"), "__size", F.col("source").alias("__source"), "__passes", "__rows")
+        plan.groupBy("doc_id", "size", "source")
+        .agg(F.sum(F.when(F.col("taken") > 0, F.col("taken") / F.col("size"))).cast("int").alias("passes"), F.count("*").alias("rows"))
+        .where("passes > 0")
+        .select(F.col("doc_id").alias("p_id"), F.col("size").alias("p_size"), F.col("source").alias("p_source"), "passes", "rows")
+    )
+    # The row travels as one value, so that no column of its own can clash with the working ones.
+    whole = docs.select(
+        F.col(doc_id).alias("id"), word_count(text).alias("words"), F.col(source).alias("of"), F.xxhash64(text).alias("order"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
-    is_row = F.col(doc_id).eqNullSafe(F.col("__doc")) & (word_count(text) == F.col("__size")) & F.col(source).eqNullSafe(F.col("__source"))
+    is_row = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("words") == F.col("p_size")) & F.col("of").eqNullSafe(F.col("p_source"))
 
     def copied(rows: DataFrame, copies: Column) -> DataFrame:
-        return rows.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return rows.withColumn("copies", copies.cast("int")).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
-    once = copied(docs.join(passes.where("__rows = 1"), is_row), F.col("__passes"))
-    if passes.where("__rows > 1").isEmpty():
+    once = copied(whole.join(passes.where("rows = 1"), is_row), F.col("passes"))
+    if passes.where("rows > 1").isEmpty():
         return once
-    several = docs.join(passes.where("__rows > 1"), is_row)
-    rank = F.row_number().over(Window.partitionBy("__doc", "__size", "__source").orderBy(F.xxhash64(text)))
-    dealt = F.floor(F.col("__passes") / F.col("__rows")) + (rank <= F.col("__passes") % F.col("__rows")).cast("int")
+    several = whole.join(passes.where("rows > 1"), is_row)
+    rank = F.row_number().over(Window.partitionBy("p_id", "p_size", "p_source").orderBy("order"))
+    dealt = F.floor(F.col("passes") / F.col("rows")) + (rank <= F.col("passes") % F.col("rows")).cast("int")
     return once.unionByName(copied(several, dealt))
 
 

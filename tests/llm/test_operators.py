@@ -284,8 +284,32 @@ def test_knapsack(budget):
     counts = rng.integers(0, 9, 59)
     take = mixing.fit_counts(sizes, counts, budget)
     assert (take >= 0).all() and (take <= counts).all()
-    total = int((sizes * counts).sum())
-    assert int((sizes * take).sum()) <= max(0, min(budget, total)) and min(budget, total) - int((sizes * take).sum()) <= 2
+    assert int((sizes * take).sum()) == min(budget, int((sizes * counts).sum()))
+
+
+def best_sum(sizes, counts, budget):
+    reached = {0}
+    for s, n in zip(sizes, counts, strict=True):
+        reached |= {r + k * s for r in reached for k in range(n + 1) if r + k * s <= budget}
+    return max(reached)
+
+
+def test_knapsack_against_all_sums():
+    rng = random.Random(4)
+    for _ in range(400):
+        n = rng.randint(1, 5)
+        sizes, counts = [rng.choice([0, rng.randint(1, 60)]) for _ in range(n)], [rng.randint(0, 6) for _ in range(n)]
+        budget = rng.randint(0, 400)
+        take = mixing.fit_counts(np.array(sizes), np.array(counts), budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((np.array(sizes) * take).sum()) == best_sum([s for s in sizes if s], [c for s, c in zip(sizes, counts, strict=True) if s], budget)
+
+
+@pytest.mark.parametrize(("budget", "want"), [(300_000, 300_000), (1_000_000, 1_000_000), (1_299_999, 1_100_000), (699_999, 600_000)])
+def test_knapsack_of_long_documents(budget, want):
+    sizes, counts = np.array([300_000, 400_000]), np.array([2, 2])
+    for s, b, w in ((sizes, budget, want), (sizes * 1000 + 0, budget * 1000, want * 1000)):
+        assert int((s * mixing.fit_counts(s, counts, b)).sum()) == w
 
 
 def naive_quality(text):
