@@ -11,8 +11,8 @@ by ``max_bits`` (2**28 bits for each of two filters: 64 MB); a corpus too large
 for that only has more false candidates, which the exact grouping clears, so the
 result is the same.
 
-Defined cases: a null text counts as empty; empty texts equal each other; rows
-that repeat both doc_id and text are one document, returned once, and counted in
+Defined cases: a null text counts as empty; empty texts equal each other; a null
+id is less than any other and stays where a text has no other; rows that repeat both doc_id and text are one document, returned once, and counted in
 ``group_size``; an empty table gives an empty result; other columns, whatever
 their names, take no part.
 """
@@ -111,17 +111,21 @@ def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     base = cut(_hashed(docs, doc_id, text))
     n_bits = filter_bits(base.count(), max_bits)
     bitmaps = cut(repeat_filter(base, n_bits))
-    groups = cut(_groups(maybe_repeated(base, bitmaps, n_bits, "h").where("__maybe"))).select(F.col("sha").alias("__g_sha"), F.col("keep_id").alias("__keep"))
-    columns = docs.columns
-    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).withColumn("__h", F.xxhash64("__sha"))
-    tested = maybe_repeated(rows, bitmaps, n_bits, "__h")
+    groups = cut(_groups(maybe_repeated(base, bitmaps, n_bits, "h").where("__maybe"))).select(F.col("sha").alias("g_sha"), "keep_id")
+    # The row travels as one value, so that no column of its own can clash with the working ones.
+    rows = docs.select(
+        F.col(doc_id).alias("id"),
+        F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("sha"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    ).withColumn("h", F.xxhash64("sha"))
+    tested = maybe_repeated(rows, bitmaps, n_bits, "h")
     winners = (
         tested.where("__maybe")
-        .join(groups, F.col("__sha") == F.col("__g_sha"), "left")
-        .where(F.col("__keep").isNull() | (F.col("__keep") == F.col(doc_id)))
-        .dropDuplicates(["__sha", doc_id])
+        .join(groups, F.col("sha") == F.col("g_sha"), "left")
+        .where(F.col("g_sha").isNull() | F.col("keep_id").eqNullSafe(F.col("id")))
+        .dropDuplicates(["sha", "id"])
     )
-    return tested.where(~F.col("__maybe")).select(*columns).unionByName(winners.select(*columns))
+    return tested.where(~F.col("__maybe")).select("row.*").unionByName(winners.select("row.*"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,8 +165,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id."""
-    gone = cut(near_duplicates(docs, doc_id, text, shingle, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    gone = cut(near_duplicates(docs, doc_id, text, shingle, max_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select(F.col(doc_id).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
