@@ -14,20 +14,28 @@ one anchor form a run, and a run is known by its anchor (class) and its bytes
 2. Classes with one run are unique; runs whose context occurs twice are repeated
    as a whole.  Neither needs its bytes compared.
 3. For classes with several contexts, one run of each context sends its bytes.
-   A task takes the contexts of its classes in batches.  A batch gets a suffix
+   A short passage in very many documents makes a class too large for one task.
+   Such a class is split by longer strings: windows have their anchor at one of
+   ``width - gram + 1`` offsets, and all windows of a range of offsets hold the
+   bytes that the range has in common.  A context is cut in two, by the lower and
+   the upper half of the offsets, and each half goes to the class of its common
+   bytes; equal windows have equal offsets and so stay together.  Halves that
+   are equal as a whole are repeated and need no comparing, a half alone in its
+   class is unique, and large classes are split again.  A range of one offset
+   holds the whole window, so the splitting ends.
+4. A task takes the contexts of its classes in batches.  A batch gets a suffix
    array over its window starts, is merge-scanned against the arrays of the
    existing levels, marking starts that agree over ``width`` bytes, and becomes
    the lowest level; levels of equal size are merged, so there are
-   logarithmically many.
-   Classes with more than HOT contexts (a short passage in very many documents)
-   would land in one task; their windows are spread out by digest instead and
-   counted, which is exact as well.
-4. Marks go back to the runs, runs to documents, and the covered bytes are cut.
-
-Defined cases: a null text is empty; texts shorter than ``width`` lose nothing;
-rows that repeat doc_id and text repeat each other's strings; bytes are removed
-without regard to characters, so the kept bytes need not be valid UTF-8; an empty
-table gives an empty result.
+   logarithmically many.  Classes share no window, so a family of levels ends
+   with a class once it has FAMILY contexts.
+5. Marks go back to the runs, runs to documents, and the covered bytes are cut.
+
+Defined cases: a null text is empty; a null id is carried as null; texts shorter
+than ``width`` lose nothing; rows that repeat doc_id and text repeat each other's
+strings; bytes are removed without regard to characters, so the kept bytes need
+not be valid UTF-8; an empty table gives an empty result; other columns, whatever
+their names, take no part.
 """
 
 from __future__ import annotations
@@ -35,24 +43,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saltmarsh.llm.common import cut, documents
+from saltmarsh.llm.common import cut, documents, slices
 from saltmarsh.llm.exact_dedup import filter_bits, maybe_repeated, repeat_filter
 
 WIDTH = 200
 GRAM = 64
-HOT = 128
-#: Contexts in a batch, and keys of a level in memory at once while it is scanned.
-BATCH, BLOCK = 4096, 1 << 16
+#: Contexts of a class beyond which it is split by longer strings.
+LARGE = 256
+#: Contexts in a batch and in a family of levels, and keys of a level in memory at once while it is scanned.
+BATCH, FAMILY, BLOCK = 1024, 4096, 1 << 14
 _SEGMENT = 1 << 22  # window starts of a text handled at once
 
 
-def window_runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, last start, and anchor hash of each run of ``raw``; ``gram`` is a multiple of 8."""
-    starts, lasts, hashes = [], [], []
+def window_runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First start, last start, anchor's place and hash of each run of ``raw``; ``gram`` is a multiple of 8."""
+    starts, lasts, places, hashes = [], [], [], []
     span = width - gram + 1
     for base in range(0, len(raw) - width + 1, _SEGMENT):
         x = np.frombuffer(raw[base : base + _SEGMENT + width - 1] + bytes(8), np.uint8)
@@ -77,31 +86,37 @@ def window_runs(raw: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.nd
         first = np.concatenate([[0], change])
         starts.append(first + base)
         lasts.append(np.concatenate([change - 1, [n_starts - 1]]) + base)
-        hashes.append(h[(least[first] & np.uint64(0xFFFFFF)).astype(np.int64)])
+        place = (least[first] & np.uint64(0xFFFFFF)).astype(np.int64)
+        places.append(place + base)
+        hashes.append(h[place])
     if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(lasts), np.concatenate(hashes)
+        return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
+    return np.concatenate(starts), np.concatenate(lasts), np.concatenate(places), np.concatenate(hashes)
 
 
 def _runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """rid, loc (first start << 20 | windows), cls, ctx."""
+    """doc, rid, loc (first start << 20 | anchor's offset from it << 10 | windows), cls, ctx."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            out = []
-            for rid, text in zip(b["rid"], b["text"], strict=True):
+        for b in slices(batches):
+            doc, rid = (b.column(c).to_numpy() for c in ("doc", "rid"))
+            loc, cls, ctx, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for text in b.column("text").to_pylist():
                 raw = text.encode("utf-8", "surrogatepass")
-                first, last, h = window_runs(raw, width, gram)
+                first, last, place, h = window_runs(raw, width, gram)
+                times.append(len(first))
                 if len(first):
-                    ctx = np.fromiter((digest(raw[s:e]) for s, e in zip(first.tolist(), (last + width).tolist(), strict=True)), np.uint64, len(first))
-                    out.append(pd.DataFrame({"rid": rid, "loc": (first << 20) | (last - first + 1), "cls": h.view(np.int64), "ctx": ctx.view(np.int64)}))
-            if out:
-                yield pd.concat(out)
+                    x = np.fromiter((digest(raw[s:e]) for s, e in zip(first.tolist(), (last + width).tolist(), strict=True)), np.uint64, len(first))
+                    loc.append((first << 20) | ((place - first) << 10) | (last - first + 1))
+                    cls.append(h.view(np.int64))
+                    ctx.append(x.view(np.int64))
+            columns = {"doc": np.repeat(doc, times), "rid": np.repeat(rid, times), "loc": np.concatenate(loc), "cls": np.concatenate(cls), "ctx": np.concatenate(ctx)}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
-    return docs.mapInPandas(run, "rid long, loc long, cls long, ctx long")
+    return docs.mapInArrow(run, "doc long, rid long, loc long, cls long, ctx long")
 
 
 class SuffixLevels:
@@ -123,6 +138,8 @@ class SuffixLevels:
 
     def add(self, contexts: list[bytes]) -> None:
         """One batch: build, merge-scan, insert."""
+        if not contexts:
+            return
         data = np.frombuffer(b"".join(contexts), np.uint8)
         sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
         offsets, windows = np.cumsum(sizes) - sizes, sizes - self.width + 1
@@ -168,45 +185,83 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _scan(contexts: DataFrame, width: int) -> DataFrame:
-    """Spans of window starts that another context of the class has too; contexts has cls, ctx, bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, kept = SuffixLevels(width), []
-        for b in batches:
-            for i in range(0, len(b), BATCH):
-                part = b.iloc[i : i + BATCH]
-                index.add(list(part["bytes"]))
-                kept.append((part["cls"].to_numpy(), part["ctx"].to_numpy(), part["bytes"].str.len().to_numpy() - width + 1))
-        at = 0
-        for cls, ctx, windows in kept:
-            out = []
-            for c, x, n in zip(cls.tolist(), ctx.tolist(), windows.tolist(), strict=True):
-                out += [(c, x, s, e) for s, e in _spans(index.hit[at : at + n])]
-                at += n
-            yield pd.DataFrame(out, columns=["cls", "ctx", "first", "last"])
-
-    return contexts.repartition("cls").mapInPandas(run, "cls long, ctx long, first int, last int")
-
-
-def _count_digests(contexts: DataFrame, width: int) -> DataFrame:
-    """The same for classes with very many contexts: each window by its own digest."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        digest = xxhash.xxh3_128_intdigest
+    """Spans of window starts that another context of the class has too; contexts has group, cls, ctx, base, bytes."""
+
+    def found(index: SuffixLevels, kept: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        out, at = [], 0
+        for cls, ctx, base, n in kept:
+            out += [(cls, ctx, base + s, base + e) for s, e in _spans(index.hit[at : at + n])]
+            at += n
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["cls", "ctx", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, kept, waiting, group = SuffixLevels(width), [], [], None
         for b in batches:
-            for i in range(0, len(b), 256):
-                out = []
-                for c, x, raw in zip(b["cls"].iloc[i : i + 256], b["ctx"].iloc[i : i + 256], b["bytes"].iloc[i : i + 256], strict=True):
-                    for k in range(len(raw) - width + 1):
-                        d = digest(raw[k : k + width])
-                        out.append((c, x, k, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)))
-                yield pd.DataFrame(out, columns=["cls", "ctx", "k", "d1", "d2"])
-
-    windows = cut(contexts.mapInPandas(run, "cls long, ctx long, k int, d1 long, d2 long"))
-    twice = cut(windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1")).select(F.col("d1").alias("t1"), F.col("d2").alias("t2"))
-    return windows.join(twice, (F.col("d1") == F.col("t1")) & (F.col("d2") == F.col("t2"))).select("cls", "ctx", F.col("k").alias("first"), F.col("k").alias("last"))
+            for g, cls, ctx, base, raw in zip(*(b.column(c).to_pylist() for c in ("group", "cls", "ctx", "base", "bytes")), strict=True):
+                if g != group and len(kept) >= FAMILY:
+                    index.add(waiting)
+                    yield found(index, kept)
+                    index, kept, waiting = SuffixLevels(width), [], []
+                group = g
+                waiting.append(raw)
+                kept.append((cls, ctx, base, len(raw) - width + 1))
+                if len(waiting) == BATCH:
+                    index.add(waiting)
+                    waiting = []
+        index.add(waiting)
+        yield found(index, kept)
+
+    return contexts.repartition("group").sortWithinPartitions("group").mapInArrow(run, "cls long, ctx long, first int, last int")
+
+
+def _halves(parts: DataFrame, width: int) -> DataFrame:
+    """Each part (of windows with their anchor at offsets low..high) in two, by the lower and the upper half of the offsets."""
+    sides = F.expr("explode(array(struct(low AS a, (low + high) div 2 AS b), struct((low + high) div 2 + 1 AS a, high AS b)))")
+    # Window k of the context has its anchor at offset at - k; low < high, as a range of one offset has no two digests.
+    halves = (
+        parts.select("*", sides.alias("side")).select("*", F.col("side.a").cast("int").alias("a"), F.col("side.b").cast("int").alias("b"))
+        .withColumn("k0", F.greatest(F.col("base"), F.col("at") - F.col("b")))
+        .withColumn("k1", F.least(F.col("base") + F.length("bytes") - width, F.col("at") - F.col("a")))
+        .where("k0 <= k1")
+    )
+    common = F.substring(F.col("bytes"), F.col("at") - F.col("a") - F.col("base") + 1, width - F.col("b") + F.col("a"))
+    own = F.substring(F.col("bytes"), F.col("k0") - F.col("base") + 1, F.col("k1") - F.col("k0") + width)
+    return halves.select(
+        F.xxhash64("group", "a", "b", common).alias("group"), "cls", "ctx", "at", F.col("k0").alias("base"), F.col("k1").alias("last"), F.col("a").alias("low"), F.col("b").alias("high"), own.alias("bytes"),
+    ).withColumn("digest", F.xxhash64("bytes"))
+
+
+def _compare(contexts: DataFrame, width: int, gram: int) -> DataFrame:
+    """Spans (cls, ctx, first, last) of windows that several contexts of a class have; contexts has cls, ctx, at, bytes."""
+    parts = contexts.select(F.col("cls").alias("group"), "cls", "ctx", "at", F.lit(0).alias("base"), "bytes")
+    parts, ready, whole = parts.withColumns({"low": F.lit(0), "high": F.lit(width - gram)}), [], []
+    while True:
+        large = cut(parts.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > LARGE)).select(F.col("group").alias("l_group"))
+        in_large = F.col("group") == F.col("l_group")
+        ready.append(parts.join(large, in_large, "left_anti").select("group", "cls", "ctx", "base", "bytes"))
+        if large.isEmpty():
+            break
+        split = _halves(parts.join(large, in_large, "left_semi"), width)
+        # The halves are written without their bytes; only those that go on send them.
+        narrow = cut(split.select("group", "digest", "cls", "ctx", "base", "last"))
+        digests = narrow.groupBy("group", "digest").agg(F.count("*").alias("n"), F.min(F.struct("cls", "ctx")).alias("r"))
+        digests = cut(digests.select(F.col("group").alias("d_group"), F.col("digest").alias("d_digest"), "n", F.col("r.cls").alias("r_cls"), F.col("r.ctx").alias("r_ctx")))
+        # A written table on one side, so that AQE can split a digest that very many contexts have.
+        same = (F.col("group") == F.col("d_group")) & (F.col("digest") == F.col("d_digest"))
+        whole.append(cut(narrow.join(digests.where("n > 1"), same).select("cls", "ctx", F.col("base").alias("first"), "last")))
+        several = digests.groupBy(F.col("d_group").alias("s_group")).agg(F.count("*").alias("n_digests")).where("n_digests > 1")
+        sent = cut(digests.join(several, F.col("d_group") == F.col("s_group")).select("d_group", "d_digest", "r_cls", "r_ctx"))
+        parts = cut(split.join(sent, same & (F.col("cls") == F.col("r_cls")) & (F.col("ctx") == F.col("r_ctx"))).select("group", "cls", "ctx", "at", "base", "low", "high", "bytes"))
+        del split, narrow, digests, several, sent
+    compared = ready[0]
+    for r in ready[1:]:
+        compared = compared.unionByName(r)
+    out = _scan(compared, width)
+    for w in whole:
+        out = out.unionByName(w)
+    return out
 
 
 def _split_by_key(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,55 +275,51 @@ def _split_by_key(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def _context_bytes(keyed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls, ctx, hot and bytes of the wanted runs (rid, loc, cls, ctx, hot)."""
-    of_doc = cut(wanted.groupBy("rid").agg(F.collect_list(F.struct("loc", "cls", "ctx", "hot")).alias("runs")).withColumnRenamed("rid", "w_rid"))
+    """cls, ctx, at (the anchor's place) and bytes of the wanted runs (doc, rid, loc, cls, ctx)."""
+    of_doc = cut(wanted.groupBy("doc", "rid").agg(F.collect_list(F.struct("loc", "cls", "ctx")).alias("runs")).withColumnsRenamed({"rid": "w_rid", "doc": "w_doc"}))
     keyed, _ = _split_by_key(keyed, of_doc.select(F.col("w_rid").alias("h")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"cls": pa.int64(), "ctx": pa.int64(), "at": pa.int32(), "bytes": pa.binary()}
+        for b in slices(batches):
             out = []
-            for text, runs in zip(b["text"], b["runs"], strict=True):
+            for text, runs in zip(b.column("text").to_pylist(), b.column("runs").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in runs:
-                    s, n = r["loc"] >> 20, r["loc"] & 0xFFFFF
-                    out.append((r["cls"], r["ctx"], r["hot"], raw[s : s + n - 1 + width]))
-            yield pd.DataFrame(out, columns=["cls", "ctx", "hot", "bytes"])
+                    s, at, n = r["loc"] >> 20, r["loc"] >> 10 & 0x3FF, r["loc"] & 0x3FF
+                    out.append((r["cls"], r["ctx"], at, raw[s : s + n - 1 + width]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], list(kinds))
 
-    return keyed.join(of_doc, F.col("rid") == F.col("w_rid")).select("text", "runs").mapInPandas(run, "cls long, ctx long, hot boolean, bytes binary")
+    met = keyed.join(of_doc, (F.col("rid") == F.col("w_rid")) & (F.col("doc") == F.col("w_doc")))
+    return met.select("text", "runs").mapInArrow(run, "cls long, ctx long, at int, bytes binary")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents keyed by rid, spans (rid, first, last) of repeated window starts)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(F.col(doc_id), t).alias("rid"))
-    runs = cut(_runs(keyed.select("rid", "text"), width, gram))
+    """(documents keyed by doc and rid, spans (doc, rid, first, last) of repeated window starts)."""
+    if not 0 < gram < width <= 1023:
+        raise ValueError("gram and width must be 0 < gram < width < 1024")
+    i, t = F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    # Rows with equal id and text are one key; two texts under one id would need equal hashes to be taken for one.
+    keyed = docs.select(i.alias("doc_id"), t.alias("text"), F.coalesce(i, F.lit(0)).alias("doc"), F.xxhash64(i.isNull(), i, t).alias("rid"))
+    runs = cut(_runs(keyed.select("doc", "rid", "text"), width, gram))
     classes = runs.groupBy("cls").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1").select(F.col("cls").alias("k_cls"), (F.col("lo") != F.col("hi")).alias("several"))
     classes = cut(classes)
     repeated = cut(runs.join(classes, F.col("cls") == F.col("k_cls")).drop("k_cls"))
     del runs, classes
-    contexts = cut(repeated.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.max("several").alias("several")))
-    hot = contexts.groupBy("cls").agg(F.count("*").alias("n_ctx")).where(F.col("n_ctx") > HOT).select(F.col("cls").alias("h_cls"))
-    sent = contexts.where("several").select(F.col("cls").alias("s_cls"), F.col("ctx").alias("s_ctx"), F.col("rid").alias("s_rid"))
-    wanted = (
-        repeated.where("several")
-        .join(sent, (F.col("cls") == F.col("s_cls")) & (F.col("ctx") == F.col("s_ctx")) & (F.col("rid") == F.col("s_rid")))
-        .groupBy("cls", "ctx", "rid").agg(F.min("loc").alias("loc"))
-        .join(cut(hot), F.col("cls") == F.col("h_cls"), "left")
-        .select("rid", "loc", "cls", "ctx", F.col("h_cls").isNotNull().alias("hot"))
-    )
+    contexts = cut(repeated.groupBy("cls", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc", "rid", "loc")).alias("r"), F.max("several").alias("several")))
+    wanted = contexts.where("several").select("r.doc", "r.rid", "r.loc", "cls", "ctx")
     # Rows that repeat doc_id and text send a context twice, but such a context is repeated as a whole anyway.
     sent_bytes = cut(_context_bytes(keyed, wanted, width))
-    partly = _scan(sent_bytes.where("NOT hot").drop("hot"), width).unionByName(_count_digests(sent_bytes.where("hot").drop("hot"), width))
     whole = contexts.where("n > 1").select("cls", "ctx", F.lit(0).alias("first"), F.lit(-1).alias("last"))
     found = (
-        partly.unionByName(whole).groupBy("cls", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+        _compare(sent_bytes, width, gram).unionByName(whole).groupBy("cls", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
         .select(F.col("cls").alias("f_cls"), F.col("ctx").alias("f_ctx"), "spans")
     )
-    start, count = F.shiftright("loc", 20), F.col("loc").bitwiseAND(F.lit(0xFFFFF).cast("long"))
+    start, count = F.shiftright("loc", 20), F.col("loc").bitwiseAND(F.lit(0x3FF).cast("long"))
     spans = (
         repeated.join(cut(found), (F.col("cls") == F.col("f_cls")) & (F.col("ctx") == F.col("f_ctx")))
-        .select("rid", start.alias("start"), count.alias("count"), F.explode("spans").alias("s"))
-        .select("rid", (F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.when(F.col("s.last") < 0, F.col("count") - 1).otherwise(F.col("s.last"))).alias("last"))
+        .select("doc", "rid", start.alias("start"), count.alias("count"), F.explode("spans").alias("s"))
+        .select("doc", "rid", (F.col("start") + F.col("s.first")).alias("first"), (F.col("start") + F.when(F.col("s.last") < 0, F.col("count") - 1).otherwise(F.col("s.last"))).alias("last"))
     )
     return keyed, spans
 
@@ -276,28 +327,29 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain)."""
     keyed, spans = repeated_spans(docs, doc_id, text, width, gram)
-    of_doc = cut(spans.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnRenamed("rid", "s_rid"))
+    of_doc = cut(spans.groupBy("doc", "rid").agg(F.collect_list(F.struct("first", "last")).alias("spans")).withColumnsRenamed({"rid": "s_rid", "doc": "s_doc"}))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
             out = []
-            for doc, text_, spans_ in zip(b["doc_id"], b["text"], b["spans"], strict=True):
+            for text_, spans_ in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 raw, kept, at, n_spans, end = text_.encode("utf-8", "surrogatepass"), [], 0, 0, -1
-                for first, last in sorted((s["first"], s["last"] + width) for s in (spans_ if spans_ is not None else ())):
+                for first, last in sorted((s["first"], s["last"] + width) for s in (spans_ or ())):
                     if first > end:
                         n_spans += 1
                         kept.append(raw[at:first])
                     at = end = max(end, last)
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                out.append((doc, len(raw), len(raw) - len(rest), n_spans, rest))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out.append((len(raw), len(raw) - len(rest), n_spans, rest))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     del spans
     some, others = _split_by_key(keyed, of_doc.select(F.col("s_rid").alias("h")))
-    met = some.join(of_doc, F.col("rid") == F.col("s_rid"), "left").select("doc_id", "text", "spans")
+    met = some.join(of_doc, (F.col("rid") == F.col("s_rid")) & (F.col("doc") == F.col("s_doc")), "left").select("doc_id", "text", "spans")
     joined = met.unionByName(others.select("doc_id", "text", F.lit(None).cast(met.schema["spans"].dataType).alias("spans")))
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

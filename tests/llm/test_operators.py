@@ -199,22 +199,42 @@ def test_dense_families_have_the_same_components(spark, monkeypatch):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-@pytest.mark.parametrize("hot", [128, 1])
-def test_suffix_dedup_against_all_windows(docs, rows, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    width = suffix_dedup.WIDTH
-    raws = [(i, (t or "").encode()) for i, t, *_ in rows]
+def naive_removal(raws, width):
     starts = Counter(r[k : k + width] for _, r in raws for k in range(len(r) - width + 1))
-    want = set()
+    want = Counter()
     for i, r in raws:
         gone = np.zeros(len(r) + 1, bool)
         for k in range(len(r) - width + 1):
             if starts[r[k : k + width]] > 1:
                 gone[k : k + width] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want.add((i, len(r), int(gone.sum()), spans, bytes(b for b, g in zip(r, gone, strict=False) if not g)))
-    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(docs).collect()}
-    assert got == want
+        want[(i, len(r), int(gone.sum()), spans, bytes(b for b, g in zip(r, gone, strict=False) if not g))] += 1
+    return want
+
+
+def removed(df):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeats(df).collect())
+
+
+@pytest.mark.parametrize("large", [256, 2])
+def test_suffix_dedup_against_all_windows(docs, rows, monkeypatch, large):
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
+    assert removed(docs) == naive_removal([(i, (t or "").encode()) for i, t, *_ in rows], suffix_dedup.WIDTH)
+
+
+def test_suffix_dedup_of_a_passage_in_hundreds_of_contexts(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(suffix_dedup, "LARGE", 8)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 16)
+    monkeypatch.setattr(suffix_dedup, "FAMILY", 32)
+    texts = []
+    for n in (80, 150, 190, 199, 230, 400):  # shorter than the width, and longer
+        passage = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        near = [rng.choice(["", "left side of it " * 3, words(rng, 4)]) for _ in range(5)]
+        texts += [words(rng, rng.randint(0, 40)) + rng.choice(near) + passage + rng.choice(near) + words(rng, rng.randint(0, 40)) for _ in range(60)]
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    got = removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == naive_removal([(i, t.encode()) for i, t in rows], suffix_dedup.WIDTH)
 
 
 def test_suffix_levels_mark_what_batches_share():
