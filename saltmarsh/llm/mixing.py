@@ -29,8 +29,8 @@ WEIGHTS = (5, 2, 1)
 SHARE_NUM, SHARE_DEN = 3, 2
 MAX_PASSES = 2
 SEED = 20260
-#: Steps that the dynamic program spans at most; a longer gap is first filled with long documents.
-DP_CELLS = 1 << 22
+#: Steps that the dynamic program spans at first, and at most; a longer gap is first filled with long documents.
+DP_SPAN, DP_CELLS = 1 << 15, 1 << 22
 BUCKET_ROWS = 64
 
 
@@ -79,10 +79,14 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, cells: int =
     even = np.array([int(c) * budget // total for c in counts.tolist()], np.int64) * used
     fewer = 0
     while best_gap >= unit:
-        take = _fit_from(sizes, counts, np.maximum(0, even - fewer), budget, unit, cells)
-        gap = budget - int((sizes * take).sum())
-        if gap < best_gap:
-            best, best_gap = take, gap
+        # A short program behind the longest documents that fit keeps the mix near the proportions.
+        for n_cells in (DP_SPAN, cells):
+            take = _fit_from(sizes, counts, np.maximum(0, even - fewer), budget, unit, n_cells)
+            gap = budget - int((sizes * take).sum())
+            if gap < best_gap:
+                best, best_gap = take, gap
+            if best_gap < unit:
+                break
         if fewer >= even.max():
             break
         fewer = max(1, 2 * fewer)
@@ -101,10 +105,15 @@ def _fit_from(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: i
         if rest <= cells:
             break
         if steps[k] > 0:
+            n = min(int(counts[k] - take[k]), (rest - cells // 2) // int(steps[k]))
+            take[k] += n
+            rest -= n * int(steps[k])
+    for k in np.argsort(-steps, kind="stable") if rest > DP_CELLS else ():
+        if steps[k] > 0 and rest > DP_CELLS:
             n = min(int(counts[k] - take[k]), rest // int(steps[k]))
             take[k] += n
             rest -= n * int(steps[k])
-    if rest > cells:  # every document that is left is longer than the gap
+    if rest > DP_CELLS:  # every document that is left is longer than the gap
         return take
     # reached[s]: some choice adds up to s; by[s]: the part that reached it first.
     reached, by, parts = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int32), []
