@@ -44,8 +44,12 @@ def previous_day_value(days: DataFrame, calendar: DataFrame, value: str) -> Data
 
 def next_event(days: DataFrame, events: DataFrame, key: str, day: str, event: str) -> DataFrame:
     """Smallest event of the key at or after the day."""
-    e = events.select(F.col(key).alias("__k"), F.col(event).alias("__e"))
-    return days.join(e, (F.col(key) == F.col("__k")) & (F.col("__e") >= F.col(day)), "left").groupBy(key, day).agg(F.min("__e").alias("next_event"))
+    d = days.select(F.col(key).alias("k"), F.col(day).alias("at"), F.lit(True).alias("is_day"))
+    e = events.select(F.col(key).alias("k"), F.col(event).alias("at"), F.lit(False).alias("is_day"))
+    # Days and events of a key in one order, events after days of the same time; no pairs are formed.
+    ahead = Window.partitionBy("k").orderBy("at", F.col("is_day").desc()).rowsBetween(0, Window.unboundedFollowing)
+    seen = d.unionByName(e).withColumn("next_event", F.min(F.when(~F.col("is_day"), F.col("at"))).over(ahead))
+    return seen.where("is_day").select(F.col("k").alias(key), F.col("at").alias(day), "next_event").distinct()
 
 
 def trading_index_gap(df: DataFrame, calendar: DataFrame, start: str, end: str) -> DataFrame:

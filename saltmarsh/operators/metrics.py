@@ -212,17 +212,59 @@ def wilson(df: DataFrame, keys: list[str], hit: Column, z: float = 1.95996398454
     return o.withColumn("low", F.greatest(F.lit(0.0), mid - half)).withColumn("high", F.least(F.lit(1.0), mid + half))
 
 
-def day_bootstrap(df: DataFrame, keys: list[str], date: str, value: str, samples: int, confidence: float, seed: int = 42) -> DataFrame:
-    """Interval of the pooled mean when days are drawn with replacement.
+#: Resampled statistics of drawn days: ``s`` is a day's sum, ``n`` its rows.
+BOOTSTRAPS = {
+    "pooled": lambda: F.sum("s") / F.sum("n"),
+    "mean": lambda: F.avg("s"),
+    "sharpe": lambda: F.when(F.stddev_samp("s") > 0, F.avg("s") / F.stddev_samp("s") * (252**0.5)).otherwise(0.0),
+}
 
-    Draw (rep, slot) takes day number (rep * 7919 + slot * 104729 + rep * slot * 31 + seed) mod n_days; replicates are
-    joined to one row a day, so only sums move.
+
+def bootstrap(df: DataFrame, keys: list[str], date: str, value: str, samples: int, confidence: float, statistic: str = "pooled", moving_block: bool = False, seed: int = 42) -> DataFrame:
+    """Interval of a statistic of days (see BOOTSTRAPS) when days are drawn with replacement.
+
+    Each (replicate, slot) draws a day by its own part of a SHA-256 digest, so draws are independent and reruns agree.
+    With ``moving_block`` runs of floor(sqrt(days)) neighbouring days are drawn.  Replicates are joined to one row a day,
+    so only sums move.
     """
     w = Window.partitionBy(*keys)
-    days = df.groupBy(*keys, date).agg(F.sum(value).alias("s"), F.count("*").alias("n")).withColumn("i", F.row_number().over(w.orderBy(date)) - 1).withColumn("days", F.count("*").over(w))
-    reps = days.select(*keys, F.col("i").alias("slot"), "days", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"))
-    pick = F.pmod(F.col("rep") * 7919 + F.col("slot") * 104729 + F.col("rep") * F.col("slot") * 31 + seed, F.col("days"))
-    drawn = reps.withColumn("i", pick).join(days.select(*keys, "i", "s", "n"), [*keys, "i"]).groupBy(*keys, "rep").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    days = df.groupBy(*keys, date).agg(F.sum(value).alias("s"), F.count("*").alias("n")).withColumn("i", F.row_number().over(w.orderBy(date)).cast("long") - 1).withColumn("days", F.count("*").over(w))
+    block = F.floor(F.sqrt("days")) if moving_block else F.lit(1).cast("long")
+    reps = days.select(*keys, F.col("i").alias("slot"), "days", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"))
+    name = F.concat_ws(",", F.lit(seed), "rep", F.floor(F.col("slot") / F.col("block")))
+    start = F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("long") % (F.col("days") - F.col("block") + 1)
+    drawn = reps.withColumn("i", start + F.col("slot") % F.col("block")).join(days.select(*keys, "i", "s", "n"), [*keys, "i"]).groupBy(*keys, "rep").agg(BOOTSTRAPS[statistic]().alias("mean"))
     r = drawn.withColumn("k", F.row_number().over(w.orderBy("mean", "rep")) - 1)
     low, high = int((1 - confidence) / 2 * (samples - 1)), int((1 - (1 - confidence) / 2) * (samples - 1))
     return r.groupBy(*keys).agg(F.max(F.when(F.col("k") == low, F.col("mean"))).alias("ci_low"), F.max(F.when(F.col("k") == high, F.col("mean"))).alias("ci_high"))
+
+
+def confusion(df: DataFrame, keys: list[str], actual: str, predicted: str, classes: list) -> DataFrame:
+    """For each class: its row of the confusion matrix (as_<class>), precision, recall and F1, and their means over the classes.
+
+    A class without predictions or without rows has precision or recall 0; balanced accuracy is the mean recall.
+    """
+    n = df.groupBy(*keys, F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    every = df.select(*keys).distinct().withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
+    counts = n.groupBy(*keys).agg(*[
+        F.coalesce(F.sum(F.when((F.col("a") == a) & (F.col("p") == p), F.col("n"))), F.lit(0)).alias(f"n_{i}_{j}") for i, a in enumerate(classes) for j, p in enumerate(classes)
+    ])
+    out = every.join(counts, keys)
+    k = range(len(classes))
+
+    def of_class(values: list[Column]) -> Column:
+        return F.coalesce(*[F.when(F.col("class") == c, v) for c, v in zip(classes, values, strict=True)])
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(0.0)
+
+    row = [sum((F.col(f"n_{i}_{j}") for j in k), F.lit(0)) for i in k]
+    col = [sum((F.col(f"n_{i}_{j}") for i in k), F.lit(0)) for j in k]
+    precision = [ratio(F.col(f"n_{i}_{i}"), col[i]) for i in k]
+    recall = [ratio(F.col(f"n_{i}_{i}"), row[i]) for i in k]
+    f1 = [ratio(2 * p * r, p + r) for p, r in zip(precision, recall, strict=True)]
+    mean = {f"macro_{n}": sum(v, F.lit(0.0)) / len(classes) for n, v in (("precision", precision), ("recall", recall), ("f1", f1))}
+    return out.select(
+        *keys, "class", *[of_class([F.col(f"n_{i}_{j}") for i in k]).alias(f"as_{j}") for j in k],
+        of_class(precision).alias("precision"), of_class(recall).alias("recall"), of_class(f1).alias("f1"), *[v.alias(n) for n, v in mean.items()],
+    )

@@ -74,7 +74,7 @@ reg(
 )
 reg("c08_next_bar", lambda v: J.next_bar(v.bars, ["symbol", "trade_date"], "bar_ts"), "SELECT symbol, bar_ts, lead(bar_ts) OVER w AS entry_ts, lead(open) OVER w AS entry_open FROM bars WINDOW w AS (PARTITION BY symbol, trade_date ORDER BY bar_ts)", "symbol bar_ts entry_ts", "entry_open")
 reg(
-    "c09_missing_days", lambda v: J.missing_days(v.bars.select("trade_date").distinct().crossJoin(F.broadcast(v.bars.select("symbol", "slot").distinct())), v.bars, ["trade_date", "symbol", "slot"]),
+    "c09_missing_days", lambda v: J.missing_days(v.bars.select("trade_date").distinct().crossJoin(v.bars.select("symbol", "slot").distinct()), v.bars, ["trade_date", "symbol", "slot"]),
     "SELECT trade_date, symbol, slot FROM (SELECT DISTINCT trade_date FROM bars), (SELECT DISTINCT symbol, slot FROM bars) EXCEPT SELECT trade_date, symbol, slot FROM bars", "trade_date symbol slot",
 )
 reg(

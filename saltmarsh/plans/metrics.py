@@ -141,12 +141,26 @@ reg(
     f"SELECT config, hits, n, greatest(0.0, (p + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) - {_Z} * sqrt((p * (1 - p) + {_Z} * {_Z} / (4 * n)) / n) / (1 + {_Z} * {_Z} / n)) AS low, least(1.0, (p + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) + {_Z} * sqrt((p * (1 - p) + {_Z} * {_Z} / (4 * n)) / n) / (1 + {_Z} * {_Z} / n)) AS high FROM (SELECT config, count(*) FILTER (gross_bps > 0) AS hits, count(*) AS n, count(*) FILTER (gross_bps > 0)::DOUBLE / count(*) AS p FROM trades GROUP BY 1)",
     "config hits n", "low high",
 )
-reg(
-    "d48_day_bootstrap", lambda v: M.day_bootstrap(_net(v), ["side"], "date", "net_bps", 100, 0.9),
-    f"""WITH days AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY side) AS days FROM (SELECT side, date, sum(net_bps) AS s, count(*) AS n FROM {NET} GROUP BY 1, 2)),
-      drawn AS (SELECT side, rep, sum(e.s) / sum(e.n) AS mean FROM (SELECT side, rep, (rep * 7919 + i * 104729 + rep * i * 31 + 42) % days AS i FROM days, range(100) r(rep)) q JOIN days e USING (side, i) GROUP BY 1, 2)
-      SELECT side, max(mean) FILTER (k = 4) AS ci_low, max(mean) FILTER (k = 94) AS ci_high FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY mean, rep) - 1 AS k FROM drawn) GROUP BY 1""",
-    "side", "ci_low ci_high",
+def _bootstrap_sql(statistic: str, block: str) -> str:
+    return f"""WITH days AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY side) AS days FROM (SELECT side, date, sum(net_bps) AS s, count(*) AS n FROM {NET} GROUP BY 1, 2)),
+      slots AS (SELECT side, rep, i AS slot, days, {block} AS block FROM days, range(100) r(rep)),
+      drawn AS (SELECT side, rep, {statistic} AS mean FROM (SELECT side, rep, ('0x' || substr(sha256('42,' || rep || ',' || slot // block), 1, 8))::BIGINT % (days - block + 1) + slot % block AS i FROM slots) q JOIN days e USING (side, i) GROUP BY 1, 2)
+      SELECT side, max(mean) FILTER (k = 4) AS ci_low, max(mean) FILTER (k = 94) AS ci_high FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY mean, rep) - 1 AS k FROM drawn) GROUP BY 1"""
+
+
+reg("d48_day_bootstrap", lambda v: M.bootstrap(_net(v), ["side"], "date", "net_bps", 100, 0.9), _bootstrap_sql("sum(e.s) / sum(e.n)", "1"), "side", "ci_low ci_high")
+reg("d48_block_bootstrap", lambda v: M.bootstrap(_net(v), ["side"], "date", "net_bps", 100, 0.9, "mean", moving_block=True), _bootstrap_sql("avg(e.s)", "CAST(floor(sqrt(days)) AS BIGINT)"), "side", "ci_low ci_high")
+reg("d48_sharpe_bootstrap", lambda v: M.bootstrap(_net(v), ["side"], "date", "net_bps", 100, 0.9, "sharpe"), _bootstrap_sql("CASE WHEN stddev_samp(e.s) > 0 THEN avg(e.s) / stddev_samp(e.s) * sqrt(252) ELSE 0 END", "1"), "side", "ci_low ci_high")
+reg(
+    "d19_confusion_matrix",
+    lambda v: M.confusion(v.trades.withColumn("actual", F.sign("gross_bps").cast("int")).withColumn("predicted", F.sign(F.col("quantity") - 25).cast("int")), ["side"], "actual", "predicted", [-1, 0, 1]),
+    """WITH t AS (SELECT side, CAST(sign(gross_bps) AS INT) AS a, CAST(sign(quantity - 25) AS INT) AS p FROM trades),
+      c AS (SELECT s.side, k.class, count(*) FILTER (a = k.class AND p = -1) AS as_0, count(*) FILTER (a = k.class AND p = 0) AS as_1, count(*) FILTER (a = k.class AND p = 1) AS as_2,
+        count(*) FILTER (a = k.class AND p = k.class) AS tp, count(*) FILTER (a = k.class) AS n_a, count(*) FILTER (p = k.class) AS n_p FROM t s, (SELECT unnest([-1, 0, 1]) AS class) k GROUP BY 1, 2),
+      r AS (SELECT *, CASE WHEN n_p > 0 THEN tp / n_p ELSE 0 END AS precision, CASE WHEN n_a > 0 THEN tp / n_a ELSE 0 END AS recall FROM c),
+      f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r)
+      SELECT *, avg(precision) OVER w AS macro_precision, avg(recall) OVER w AS macro_recall, avg(f1) OVER w AS macro_f1 FROM f WINDOW w AS (PARTITION BY side)""",
+    "side class as_0 as_1 as_2", "precision recall f1 macro_precision macro_recall macro_f1",
 )
 reg(
     "d49_activity_band", lambda v: M.activity_band(v.trades.groupBy("side", "date").agg(F.count("*").alias("c")), "side", "date", "c", 60, 100),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -154,11 +153,7 @@ reg("m12_momentum_run", lambda v: C.top_k(E.momentum_bps(v.bars, 1, E.SYMBOL).wi
 
 
 def _per_fold(v):
-    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["gross_bps"].to_numpy()
-        return pd.DataFrame({"config": [pdf["config"].iloc[0]], "fold": [pdf["fold"].iloc[0]], "score": [float(x.mean())], "n": [len(x)]})
-
-    return v.trades.select("config", "fold", "gross_bps").groupBy("config", "fold").applyInPandas(evaluate, "config long, fold long, score double, n long")
+    return v.trades.groupBy("config", "fold").agg(F.avg("gross_bps").alias("score"), F.count("*").alias("n"))
 
 
 reg("m13_fold_evaluator", _per_fold, "SELECT config, fold, avg(gross_bps) AS score, count(*) AS n FROM trades GROUP BY 1, 2", "config fold n", "score")

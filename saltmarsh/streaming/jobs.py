@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,13 @@ EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="streams-")
+    """A new folder in ``spark.checkpoint.dir``; on one machine, where that is unset, in a folder of our own."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="streams-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

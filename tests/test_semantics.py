@@ -100,3 +100,19 @@ def test_registration_needs_no_session():
 
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).parent.parent, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+def test_bootstrap_interval_has_the_width_of_theory(spark):
+    import random
+
+    from saltmarsh.operators import metrics
+
+    rng = random.Random(1)
+    n = 900
+    df = spark.createDataFrame([("a", i, rng.gauss(1.0, 2.0)) for i in range(n)], "side string, date long, x double")
+    half = 1.645 * 2.0 / n**0.5
+    for statistic, block in (("pooled", False), ("mean", True)):
+        r = metrics.bootstrap(df, ["side"], "date", "x", 200, 0.9, statistic, moving_block=block).first()
+        assert 0.7 * 2 * half < r["ci_high"] - r["ci_low"] < 1.35 * 2 * half and r["ci_low"] < 1.15 and r["ci_high"] > 0.85
+    s = metrics.bootstrap(df, ["side"], "date", "x", 200, 0.9, "sharpe").first()
+    assert s["ci_low"] < 252**0.5 / 2 < s["ci_high"] and s["ci_high"] - s["ci_low"] > 0.7 * 2 * 1.645 * (252 / n) ** 0.5
