@@ -250,14 +250,49 @@ def test_suffix_levels_mark_what_batches_share():
     assert len(index.levels) <= 4
 
 
-def test_licenses(spark, rows):
+def naive_shingles(text):
+    w = [x for x in re.sub(r"[\W_]+", " ", (text or "").lower()).split(" ") if x]
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def test_licenses(spark):
+    """Whole, edited, cut and sibling wordings against the exact share over the whole text."""
     rng = random.Random(9)
     filler = words(rng, 30)
-    edited = license_scan.TEMPLATES[7][1].replace("redistribute", "share")
-    texts = {1: f"{filler} Released under the MIT License. {filler}", 2: filler, 3: None, 4: f"{filler}\n{edited} {filler}", 5: "Licensed under the", 6: ""}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {(r["doc_id"], r["license"]): r["containment"] for r in license_scan.scan_licenses(docs).collect()}
-    assert got[(1, "MIT")] == 1.0 and 0.8 <= got[(4, "GPL-3.0-or-later")] < 1 and len(got) == 2
+    texts = {0: None, 1: "", 2: filler, 3: "Licensed under the"}
+    want = {}
+    for name, t in license_scan.TEMPLATES:
+        w = t.split()
+        texts[len(texts)] = f"{filler} {t} {filler}"
+        want[len(texts) - 1] = (name, 1.0)
+        if len(w) >= 40:
+            k = rng.randrange(5, len(w) - 5)
+            edited = " ".join([*w[:k], "changed", *w[k + 1 :]])
+            for x in (edited, " ".join(w[: int(len(w) * 0.9)])):
+                texts[len(texts)] = f"{filler}\n{x}\n{filler}"
+                want[len(texts) - 1] = (name, None)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = defaultdict(dict)
+    for r in license_scan.scan_licenses(docs).collect():
+        got[r["doc_id"]][r["template"]] = (r["license"], r["containment"])
+    template = [set(naive_shingles(t)) for _, t in license_scan.TEMPLATES]
+    found = 0
+    for i, t in texts.items():
+        there = set(naive_shingles(t))
+        share = [len(there & s) / len(s) for s in template]
+        for k, (_, c) in got[i].items():
+            assert c <= share[k] + 1e-9
+        if i not in want:
+            assert not got[i]
+            continue
+        best = max(range(len(share)), key=lambda k: (share[k], len(template[k])))
+        if share[best] >= 0.8:
+            names = {n for n, _ in got[i].values()}
+            found += license_scan.TEMPLATES[best][0] in names
+            assert names <= {license_scan.TEMPLATES[best][0], want[i][0]}, (t, names)
+        if want[i][1]:
+            assert want[i] in got[i].values()
+    assert found >= 0.99 * sum(max(len(set(naive_shingles(texts[i])) & s) / len(s) for s in template) >= 0.8 for i in want)
 
 
 def test_language_of_odd_texts(docs, rows):
