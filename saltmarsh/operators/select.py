@@ -90,3 +90,23 @@ def gates(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
     """One boolean for each gate, the reasons of those that fail in order, and the first."""
     reasons = F.filter(F.array(*[F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
     return df.withColumns({f"gate_{n}": F.coalesce(t, F.lit(False)) for n, t in tests.items()}).withColumn("failed", F.array_join(reasons, ",")).withColumn("first_failed", F.get(reasons, F.lit(0))).withColumn("passed", F.size(reasons) == 0)
+
+
+def nearest_expiry(df: DataFrame, keys: list[str], expiry: str, volume: str, *tie: str) -> DataFrame:
+    """Of the traded contracts of each key, the one that expires first."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.where(F.col(volume) > 0).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(expiry, *tie)).alias("r")).select(*keys, "r.*")
+
+
+def costed_picks(df: DataFrame, keys: list[str], k: int, confidence: str, least: float, gross: Column, cost_bps: float, tie: str) -> DataFrame:
+    """The ``k`` most confident rows of each key that are confident enough, with their score after costs."""
+    d = top_k(df, keys, k, F.col(confidence).desc(), tie).where(F.col(confidence) >= least)
+    return d.withColumn("gross", gross).withColumn("net_score", F.col("gross") - cost_bps / 10_000)
+
+
+def hit_report(picks: DataFrame, by: list[str]) -> DataFrame:
+    """Picks, wins, losses, share of wins, and the sum of net scores."""
+    return picks.groupBy(*by).agg(
+        F.count("*").alias("picks"), F.count_if(F.col("gross") > 0).alias("wins"), F.count_if(F.col("gross") < 0).alias("losses"),
+        F.avg((F.col("gross") > 0).cast("double")).alias("hit_rate"), F.sum("net_score").alias("net_score"),
+    )

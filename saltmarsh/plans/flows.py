@@ -39,7 +39,6 @@ reg(
 )
 reg("a09_append_missing_days", lambda v: T.append_missing_days(v.bars, v.bars.where("slot >= 22"), ["symbol", "trade_date"]), "SELECT symbol, bar_ts FROM bars b WHERE NOT EXISTS (SELECT 1 FROM bars c WHERE c.slot >= 22 AND c.symbol = b.symbol AND c.trade_date = b.trade_date)", "symbol bar_ts")
 reg("a11_typed_filter", lambda v: v.table("lineitem").where(F.trim("l_returnflag") == "A").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").try_cast("double").alias("quantity"), F.date_add(F.to_date("l_shipdate"), 1).alias("usable_from")), "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS quantity, CAST(CAST(l_shipdate AS DATE) + 1 AS DATE) AS usable_from FROM lineitem WHERE l_returnflag = 'A'", "l_orderkey l_linenumber usable_from", "quantity")
-reg("a12_nearest_expiry", lambda v: v.table("lineitem").groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct("l_shipdate", "l_linenumber")).alias("line"), F.to_date(F.min("l_shipdate")).alias("expiry")), "SELECT l_orderkey, first(l_linenumber ORDER BY l_shipdate, l_linenumber) AS line, CAST(min(l_shipdate) AS DATE) AS expiry FROM lineitem GROUP BY 1", "l_orderkey line expiry")
 reg(
     "a14_candle_arrays", lambda v: T.candle_arrays(v.bars.groupBy("symbol", "trade_date").agg(F.to_json(F.collect_list(F.array(*[F.col(c).cast("string") for c in ("bar_ts", "open", "high", "low", "close", "volume", "oi")]))).alias("candles")), "candles"),
     "SELECT symbol, bar_ts AS ts, open, high, low, close, volume, oi FROM bars", "symbol ts", "open high low close volume oi",
@@ -59,10 +58,6 @@ def _log(v):
 
 
 reg("s08_chain_violations", lambda v: S.chain_violations(_log(v), "o_custkey", "o_orderkey", "content", "stored", "previous"), "SELECT o_custkey, o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 97 = 0 THEN 'content' END, CASE WHEN o_orderkey % 89 = 0 THEN 'link' END) AS violations FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0", "o_custkey o_orderkey violations")
-reg("s11_ledger", lambda v: v.trades.groupBy("config", "date", "side").agg(F.min_by(F.struct("gross_bps", "quantity"), F.struct("order_key", "line")).alias("r"), F.count("*").alias("signals")).select("config", "date", "side", "signals", F.col("r.gross_bps").alias("gross_bps"), (F.col("signals") > 1).alias("duplicated")), "SELECT config, date, side, count(*) AS signals, first(gross_bps ORDER BY order_key, line) AS gross_bps, count(*) > 1 AS duplicated FROM trades GROUP BY 1, 2, 3", "config date side signals duplicated", "gross_bps")
-reg("s12_trade_close", lambda v: v.trades.where("status = 'O'").select("order_key", "line", "side", "quantity", "gross_bps").join(v.table("orders").select(F.col("o_orderkey").alias("order_key"), F.col("o_totalprice").alias("exit")), "order_key", "left").withColumn("pnl", F.when(F.col("side") == "R", -1).otherwise(1) * F.col("gross_bps") / 10_000 * F.col("exit") - F.col("quantity")), "SELECT order_key, line, CASE WHEN side = 'R' THEN -1 ELSE 1 END * gross_bps / 10000 * o_totalprice - quantity AS pnl FROM trades LEFT JOIN orders ON o_orderkey = order_key WHERE status = 'O'", "order_key line", "pnl")
-
-
 def _logistic(v):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler

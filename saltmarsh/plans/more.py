@@ -67,21 +67,6 @@ def _json_rows(v):
 reg("a17_file_families", lambda v: v.spark.read.format("binaryFile").load(f"{v.sf_dir}/*.parquet").select(F.regexp_extract("path", r"([a-z]+)\.parquet", 1).alias("family"), "length").groupBy("family").agg(F.count("*").alias("n"), F.sum("length").alias("bytes")), None, "family n bytes")
 reg("a18_lower_columns", lambda v: v.table("region").toDF(*[c.upper() for c in v.table("region").columns]).transform(lambda d: d.toDF(*[c.lower() for c in d.columns])).withColumn("source", F.lit("fallback")), "SELECT r_regionkey, r_name, 'fallback' AS source FROM region", "r_regionkey r_name source")
 
-
-def _immutable(v):
-    df = v.table("nation").select("n_nationkey", "n_name")
-    digest = df.agg(F.bit_xor(F.xxhash64("n_nationkey", "n_name")).alias("d")).first()["d"]
-    path = f"{S.scratch(v.spark)}/{digest}"
-    for _ in range(2):
-        try:
-            df.write.mode("errorifexists").parquet(path)
-        except Exception as e:
-            if "PATH_ALREADY_EXISTS" not in str(e):
-                raise
-    return v.spark.read.parquet(path)
-
-
-reg("a19_immutable_sink", _immutable, "SELECT n_nationkey, n_name FROM nation", "n_nationkey n_name")
 reg(
     "a20_archive_fill", lambda v: T.append_missing_days(v.bars.where(F.col("slot").between(9, 15)).withColumn("close", F.round("close", 2)), v.bars.where("slot = 12"), ["symbol", "trade_date"]),
     "SELECT symbol, bar_ts, round(close, 2) AS close FROM bars b WHERE slot BETWEEN 9 AND 15 AND NOT EXISTS (SELECT 1 FROM bars c WHERE c.slot = 12 AND c.symbol = b.symbol AND c.trade_date = b.trade_date)", KEEP, "close",
@@ -91,12 +76,6 @@ reg(
     "SELECT symbol, skip, count(*) AS n FROM bars, (SELECT DISTINCT CAST(length(symbol) % 3 AS BIGINT) AS skip FROM bars) WHERE slot >= skip AND NOT slot BETWEEN 11 AND 12 GROUP BY 1, 2", "symbol skip n",
 )
 reg("b39_bar_aliases", lambda v: v.bars.select("symbol", "bar_ts", F.col("open").alias("f_open"), F.when(F.col("slot") % 2 == 0, F.col("close")).alias("close"), F.col("close").alias("fut_close")).select("symbol", "bar_ts", F.col("f_open").alias("open"), F.coalesce("close", "fut_close").alias("close")), "SELECT symbol, bar_ts, open, close FROM bars", KEEP, "open close")
-reg(
-    "c16_corrections", lambda v: v.table("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"), F.count_distinct("o_orderstatus").alias("kinds")).select("o_custkey", "n", F.when(F.col("n") == 1, "single").when(F.col("kinds") == 1, "superseded").otherwise("quarantine").alias("decision")),
-    "SELECT o_custkey, count(*) AS n, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT o_orderstatus) = 1 THEN 'superseded' ELSE 'quarantine' END AS decision FROM orders GROUP BY 1", "o_custkey n decision",
-)
-
-
 def _prior_thresholds(v):
     d = v.scores.withColumn("day", F.to_date("ts"))
     q = d.groupBy("day").agg(F.percentile("p", 0.85).alias("q85"), F.percentile("p", 0.95).alias("q95"))
@@ -112,17 +91,6 @@ reg("c23_baseline_join", lambda v: v.bars.join(v.bars.groupBy("symbol", "slot").
 reg("d05_universe_rows", lambda v: v.table("supplier").join(v.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey"), "s_nationkey", "left").select("s_suppkey", F.col("n_name").alias("sector"), F.col("n_regionkey").alias("feed"), (F.col("n_regionkey") < 3).alias("available")), "SELECT s_suppkey, n_name AS sector, n_regionkey AS feed, n_regionkey < 3 AS available FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey", "s_suppkey sector feed available")
 reg("d39_role_counts", lambda v: v.table("documents").groupBy("source", "lang").agg(F.count("*").alias("n")).withColumn("enough", F.col("n") >= 3), "SELECT source, lang, count(*) AS n, count(*) >= 3 AS enough FROM documents GROUP BY 1, 2", "source lang n enough")
 
-
-def _graduation(v):
-    g = M.net(v.trades, 3.5).groupBy("config").agg(F.count("*").alias("n"), F.avg("net_bps").alias("ev"), F.stddev_samp("net_bps").alias("sd"), F.months_between(F.max("date"), F.min("date")).alias("months"))
-    g = g.withColumn("ci_low", F.col("ev") - 1.96 * F.col("sd") / F.sqrt("n"))
-    return C.gates(g, {"months": F.floor("months") >= 6, "trades": F.col("n") >= 200, "ci": F.col("ci_low") > 0})
-
-
-reg(
-    "d44_graduation", _graduation,
-    "SELECT config, n, ci_low, n >= 200 AS gate_trades, ci_low > 0 AS gate_ci FROM (SELECT config, count(*) AS n, avg(gross_bps - 3.5) - 1.96 * stddev_samp(gross_bps - 3.5) / sqrt(count(*)) AS ci_low FROM trades GROUP BY 1)", "config n gate_trades gate_ci", "ci_low",
-)
 reg(
     "s04_snapshot_ages", lambda v: J.as_of(v.bars, v.ticks.withColumn("quote_ts", F.col("ts")), ["symbol"], "bar_ts", "ts", "quote_ts").withColumn("age", F.timestamp_diff("SECOND", F.col("asof_value"), F.col("bar_ts"))),
     "SELECT b.symbol, b.bar_ts, datesub('second', t.ts, b.bar_ts) AS age FROM bars b ASOF LEFT JOIN (SELECT DISTINCT symbol, ts FROM ticks) t ON b.symbol = t.symbol AND b.bar_ts >= t.ts", f"{KEEP} age",
@@ -132,7 +100,6 @@ reg(
     "s05_stateful_baseline", lambda v: S.run(S.slot_baseline(S.stream_of(E.with_session_index(v.bars).select("symbol", "slot", "session_idx", F.col("volume").cast("double").alias("value"))), 60, 20)),
     f"SELECT symbol, slot, session_idx, CASE WHEN count(*) OVER ({_S60}) >= 20 THEN avg(volume) OVER ({_S60}) END AS base_mean FROM (SELECT *, dense_rank() OVER (PARTITION BY symbol ORDER BY trade_date) AS session_idx FROM bars)", "symbol slot session_idx", "base_mean",
 )
-reg("s10_snapshot_checks", lambda v: v.ticks.withColumn("x", F.when(F.col("event_id") % 41 == 0, F.lit(float("nan"))).otherwise(F.col("price"))).groupBy("symbol", F.when(F.isnan("x"), "non_finite").when(F.col("size") == 0, "empty").otherwise("ok").alias("state")).agg(F.count("*").alias("n")), "SELECT symbol, CASE WHEN event_id % 41 = 0 THEN 'non_finite' WHEN size = 0 THEN 'empty' ELSE 'ok' END AS state, count(*) AS n FROM ticks GROUP BY 1, 2", "symbol state n")
 reg(
     "m06_rolling_folds", lambda v: v.trades.agg(F.min("fold").alias("a"), F.max("fold").alias("b")).select(F.explode(F.sequence(F.col("a"), F.col("b") - 3)).alias("select_from")).select("select_from", (F.col("select_from") + 2).alias("select_to"), (F.col("select_from") + 3).alias("oos")),
     "SELECT s AS select_from, s + 2 AS select_to, s + 3 AS oos FROM (SELECT unnest(range(min(fold), max(fold) - 2)) AS s FROM trades)", "select_from select_to oos",

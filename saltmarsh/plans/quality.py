@@ -116,7 +116,6 @@ def _action(v):
 reg("b32_choose_action", _action, f"SELECT event_id, {_ACT} AS action FROM scores", "event_id action")
 reg("b33_confidence", lambda v: v.scores.select("event_id", F.when(F.col("p") >= 0.5, "LONG").otherwise("SHORT").alias("side"), (2 * F.abs(F.col("p") - 0.5)).alias("confidence"), (2 * F.abs(F.col("p") - 0.5) >= 0.3).alias("execute")), "SELECT event_id, CASE WHEN p >= 0.5 THEN 'LONG' ELSE 'SHORT' END AS side, 2 * abs(p - 0.5) AS confidence, 2 * abs(p - 0.5) >= 0.3 AS execute FROM scores", "event_id side execute", "confidence")
 reg("b35_order_limits", lambda v: v.table("lineitem").select("l_orderkey", "l_linenumber", F.array_join(N.reasons({"quantity": F.col("l_quantity") > 40, "discount": F.col("l_discount") > 0.08, "tax": F.col("l_tax") > 0.07}), ",").alias("reasons")), "SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_quantity > 40 THEN 'quantity' END, CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_tax > 0.07 THEN 'tax' END) AS reasons FROM lineitem", "l_orderkey l_linenumber reasons")
-reg("b36_recommendations", lambda v: v.trades.groupBy("config").agg(F.avg("gross_bps").alias("ev")).select("config", F.when(F.col("ev") > 10, "PICK").otherwise("NO_TRADE").alias("status"), F.when(F.col("ev") > 10, F.floor("ev")).otherwise(0).alias("size")), "SELECT config, CASE WHEN avg(gross_bps) > 10 THEN 'PICK' ELSE 'NO_TRADE' END AS status, CASE WHEN avg(gross_bps) > 10 THEN CAST(floor(avg(gross_bps)) AS BIGINT) ELSE 0 END AS size FROM trades GROUP BY 1", "config status size")
 reg("b38_front_filter", lambda v: v.bars.withColumn("front", F.col("symbol").endswith("k")).withColumn("any_front", F.max("front").over(Window.partitionBy("trade_date"))).where(F.col("front") | ~F.col("any_front")), "SELECT symbol, bar_ts FROM (SELECT *, suffix(symbol, 'k') AS front, max(suffix(symbol, 'k')) OVER (PARTITION BY trade_date) AS af FROM bars) WHERE front OR NOT af", "symbol bar_ts")
 reg("b40_outcome_class", lambda v: v.trades.select("order_key", "line", F.when(F.col("gross_bps") - 3.5 > 0, "LONG").when(-F.col("gross_bps") - 3.5 > 0, "SHORT").otherwise("NO_TRADE").alias("actual")), "SELECT order_key, line, CASE WHEN gross_bps - 3.5 > 0 THEN 'LONG' WHEN -gross_bps - 3.5 > 0 THEN 'SHORT' ELSE 'NO_TRADE' END AS actual FROM trades", "order_key line actual")
 reg("b41_time_keys", lambda v: v.ticks.select("event_id", F.to_date("ts").alias("date"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"), F.upper("symbol").alias("symbol")), "SELECT event_id, CAST(ts AS DATE) AS date, date_trunc('minute', ts) AS minute, upper(symbol) AS symbol FROM ticks", "event_id date minute symbol")
@@ -124,7 +123,6 @@ reg("d03_liquid_universe", lambda v: v.bars.groupBy("symbol").agg(F.sum(F.col("c
 reg("d04_price_floor", lambda v: v.bars.groupBy("symbol").agg(F.avg("close").alias("mean_close")).withColumn("kept", F.col("mean_close") >= 50), "SELECT symbol, avg(close) AS mean_close, avg(close) >= 50 AS kept FROM bars GROUP BY 1", "symbol kept", "mean_close")
 reg("d22_zero_volume_and_gaps", lambda v: v.bars.groupBy("symbol", "trade_date").agg(F.count_if(F.col("volume") == 0).alias("zero_volume"), (F.max("slot") - F.min("slot") + 1 - F.count("*")).alias("missing"), F.max("bar_ts").alias("freshest")), "SELECT symbol, trade_date, count(*) FILTER (volume = 0) AS zero_volume, max(slot) - min(slot) + 1 - count(*) AS missing, max(bar_ts) AS freshest FROM bars GROUP BY 1, 2", "symbol trade_date zero_volume missing freshest")
 reg("d23_minute_summary", lambda v: v.bars.agg(F.count("*").alias("n"), F.min("bar_ts").alias("first_ts"), F.max("bar_ts").alias("last_ts"), F.avg((F.col("volume") == 0).cast("double")).alias("zero_volume_share"), F.count_if(~F.col("slot").between(9, 15)).alias("off_session"), F.count_distinct("symbol").alias("symbols")), "SELECT count(*) AS n, min(bar_ts) AS first_ts, max(bar_ts) AS last_ts, avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) AS zero_volume_share, count(*) FILTER (NOT slot BETWEEN 9 AND 15) AS off_session, count(DISTINCT symbol) AS symbols FROM bars", "n first_ts last_ts off_session symbols", "zero_volume_share")
-reg("d24_session_scan", lambda v: v.bars.groupBy("symbol", "trade_date").agg(F.count("*").alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"), F.count_if(F.col("open") == F.col("close")).alias("flat"), F.count_if(F.col("oi") == 0).alias("zero_oi")).withColumn("disposition", F.when(F.col("n") < 12, "drop").when(F.col("last") - F.col("first") + 1 != F.col("n"), "gaps").otherwise("ok")), "SELECT *, CASE WHEN n < 12 THEN 'drop' WHEN last - first + 1 <> n THEN 'gaps' ELSE 'ok' END AS disposition FROM (SELECT symbol, trade_date, count(*) AS n, min(slot) AS first, max(slot) AS last, count(*) FILTER (open = close) AS flat, count(*) FILTER (oi = 0) AS zero_oi FROM bars GROUP BY 1, 2)", "symbol trade_date n first last flat zero_oi disposition")
 reg("d25_day_validation", lambda v: v.bars.groupBy("symbol", "trade_date").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.when((F.col("slot") >= 20) & (F.col("volume") > 0), F.col("close") * F.col("volume"))), F.sum(F.when((F.col("slot") >= 20) & (F.col("volume") > 0), F.col("volume")))).alias("late_vwap"), F.max_by(F.when(F.col("oi") != 0, F.col("oi")), F.when(F.col("oi") != 0, F.col("bar_ts"))).alias("last_oi")).withColumn("ok", F.col("n").between(15, 24)), "SELECT symbol, trade_date, count(*) AS n, sum(close * volume) FILTER (slot >= 20 AND volume > 0) / sum(volume) FILTER (slot >= 20 AND volume > 0) AS late_vwap, last(oi ORDER BY bar_ts) FILTER (oi <> 0) AS last_oi, count(*) BETWEEN 15 AND 24 AS ok FROM bars GROUP BY 1, 2", "symbol trade_date n last_oi ok", "late_vwap")
 reg("d26_oi_regime", lambda v: v.bars.groupBy("symbol", "trade_date").agg(F.max_by("oi", "bar_ts").alias("o"), F.avg("oi").alias("expected")).withColumn("ratio", F.try_divide(F.col("expected"), F.col("o"))).withColumn("regime", F.when(F.col("ratio").isNull(), "unknown").when(F.col("ratio").between(0.5, 2), "one").when(F.col("ratio").between(50, 200), "x100").otherwise("ambiguous")), "SELECT symbol, trade_date, ratio, CASE WHEN ratio IS NULL THEN 'unknown' WHEN ratio BETWEEN 0.5 AND 2 THEN 'one' WHEN ratio BETWEEN 50 AND 200 THEN 'x100' ELSE 'ambiguous' END AS regime FROM (SELECT symbol, trade_date, avg(oi) / nullif(last(oi ORDER BY bar_ts), 0) AS ratio FROM bars GROUP BY 1, 2)", "symbol trade_date regime", "ratio")
 reg("d27_lot_inference", lambda v: v.trades.groupBy("config").agg(F.round(F.percentile("quantity", 0.5)).cast("long").alias("lot"), F.min("quantity").alias("low"), F.max("quantity").alias("high"), F.count("*").alias("n")), "SELECT config, CAST(round(quantile_cont(quantity, 0.5)) AS BIGINT) AS lot, min(quantity) AS low, max(quantity) AS high, count(*) AS n FROM trades GROUP BY 1", "config lot n", "low high")

@@ -108,6 +108,53 @@ def slot_baseline(stream: DataFrame, sessions: int, least: int) -> DataFrame:
     return stream.groupBy("symbol", "slot").applyInPandasWithState(step, schema, "idx array<long>, val array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def label_stream(stream: DataFrame, key: str, time: str, horizon: int, up: float, down: float, delay: str, hold: str) -> DataFrame:
+    """First-touch labels of bars as soon as their horizon is complete; the live form of ``labels.percent_barriers``.
+
+    The state of a key is its last ``horizon`` bars.  Batches come in order of time;
+    a bar not after the last one seen is given the outcome ``late``.  Where no bar
+    of the key comes until the watermark is ``hold`` past its last one, the bars
+    held are labelled by the path they have, the very last one as ``excluded``.
+    """
+    kept = [time, "open", "high", "low", "close"]
+    wait = pd.Timedelta(hold)
+
+    def label(k: str, rows: list[tuple]) -> tuple:
+        path, entry = rows[1 : horizon + 1], rows[1][1] if len(rows) > 1 else None
+        if not path:
+            return (k, rows[0][0], "excluded", None, None)
+        target, stop = entry * (1 + up), entry * (1 - down)
+        for i, (_, _, high, low, _) in enumerate(path, 1):
+            if low <= stop or high >= target:
+                hit = low <= stop
+                return (k, rows[0][0], "stop" if hit else "target", i, ((stop if hit else target) / entry - 1) * 10_000)
+        return (k, rows[0][0], "timeout", len(path), (path[-1][4] / entry - 1) * 10_000)
+
+    def step(k: tuple, frames, state: GroupState):
+        held = [tuple(r) for r in zip(*state.get, strict=True)] if state.exists else []
+        out = []
+        if state.hasTimedOut:
+            out = [label(k[0], held[i:]) for i in range(len(held))]
+            state.remove()
+        else:
+            for row in pd.concat(frames)[kept].sort_values(time).itertuples(index=False, name=None):
+                if held and row[0] <= held[-1][0]:
+                    out.append((k[0], row[0], "late", None, None))
+                    continue
+                held.append(row)
+                if len(held) > horizon:
+                    out.append(label(k[0], held))
+                    del held[0]
+            state.update(tuple(list(c) for c in zip(*held, strict=True)))
+            state.setTimeoutTimestamp(max(int((held[-1][0] + wait).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, time, "outcome", "bars_held", "gross_bps"]).astype({"bars_held": "Int64", "gross_bps": "Float64"})
+
+    out = f"{key} string, {time} timestamp, outcome string, bars_held long, gross_bps double"
+    held = f"at array<timestamp>, {', '.join(f'{c} array<double>' for c in kept[1:])}"
+    s = stream.select(key, F.col(time).cast("timestamp").alias(time), *kept[1:]).withWatermark(time, delay)
+    return s.groupBy(key).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_of(df: DataFrame) -> DataFrame:
     """A file stream over what ``df`` has now."""
     folder = scratch(df.sparkSession)
