@@ -10,9 +10,9 @@ where the class prior is the share of toxic rows among the labelled ones.  When
 the second part falls below zero, the step goes up that part instead, as in the
 published method.
 
-Features are words and word beginnings of a bounded vocabulary (those whose share
-of documents differs most between the two samples), present or not, over whole
-texts.  Both training sets are bounded samples; vocabulary and weights are
+Features are words, word beginnings, and beginnings that occur at least AGAIN
+times, of a bounded vocabulary (those whose share of documents differs most between
+the two samples), present or not, over whole texts.  Both training sets are bounded samples; vocabulary and weights are
 broadcast (VOCABULARY entries).
 
 Defined cases: a null text is empty; an empty text gets the score of the bias
@@ -23,6 +23,7 @@ an empty result; other columns, whatever their names, take no part.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +35,9 @@ from saltmarsh.llm.common import cut, documents, fold, labels, map_texts, slices
 
 #: Rows that the classifier is fitted on, about.
 POSITIVES, UNLABELLED = 2000, 8000
-VOCABULARY = 1000
+VOCABULARY = 500
+#: Counts of a word beginning that are features of their own.
+AGAIN = (2, 3)
 MIN_DOCUMENTS = 5
 HELD_OUT_PARTS = 5
 STEPS = 250
@@ -44,9 +47,15 @@ _STRIP = ".,;:!?\"'()[]{}|*#"
 
 
 def words_of(text: str | None) -> set[str]:
-    """The distinct words of a text and their first four and five letters, each behind a ^."""
-    words = {w.strip(_STRIP) for w in set((text or "").lower().split())} - {""}
-    return words | {"^" + w[:4] for w in words} | {"^" + w[:5] for w in words}
+    """The distinct words of a text, their first four and five letters, each behind a ^, and *n where these occur n times."""
+    starts: Counter[str] = Counter()
+    words = set()
+    for raw, n in Counter((text or "").lower().split()).items():
+        if w := raw.strip(_STRIP):
+            words.add(w)
+            for start in {w[:4], w[:5]}:
+                starts["^" + start] += n
+    return words.union(starts, (f"{s}*{n}" for s, k in starts.items() for n in AGAIN if k >= n))
 
 
 class Words:
