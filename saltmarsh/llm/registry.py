@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from saltmarsh.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from saltmarsh.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_whitening": whitening.op11_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
