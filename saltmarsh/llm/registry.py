@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from saltmarsh.llm import conversation_repair, exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, whitening
+from saltmarsh.llm import conversation_repair, exact_dedup, language_id, license_scan, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_whitening": whitening.op11_whitening,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "pipeline": corpus_pipeline.run,
     }
