@@ -12,9 +12,10 @@ for that only has more false candidates, which the exact grouping clears, so the
 result is the same.
 
 Defined cases: a null text counts as empty; empty texts equal each other; a null
-id is less than any other and stays where a text has no other; rows that repeat both doc_id and text are one document, returned once, and counted in
-``group_size``; an empty table gives an empty result; other columns, whatever
-their names, take no part.
+id is less than any other and stays where a text has no other; rows that repeat
+both doc_id and text are each returned and counted in ``group_size``, and
+``drop_exact_copies`` keeps one of them; an empty table gives an empty result;
+other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -93,12 +94,11 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # A written table on one side, plain rows on the other: a hot hash is split by AQE's skew join.
     groups = cut(_groups(maybe)).select(F.col("sha").alias("g_sha"), "keep_id", "group_size")
     met = (
-        maybe.groupBy("sha", "doc_id").agg(F.count("*").alias("n"))
-        .join(groups, F.col("sha") == F.col("g_sha"), "left")
+        maybe.join(groups, F.col("sha") == F.col("g_sha"), "left")
         .select(
             "doc_id",
             F.coalesce("keep_id", "doc_id").alias("keep_id"),
-            F.coalesce("group_size", "n").alias("group_size"),
+            F.coalesce("group_size", F.lit(1)).alias("group_size"),
             (F.coalesce("keep_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
             F.col("sha").alias("text_sha256"),
         )

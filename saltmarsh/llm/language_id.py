@@ -138,4 +138,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], doc_id: str = "doc
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = learn_profiles(docs, "doc_id", "text", "lang", fold("doc_id", 3) != 1)
-    return identify(docs, profiles).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return identify(docs, profiles).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score")

@@ -168,4 +168,4 @@ def keep_good(docs: DataFrame, model: Neighbours, text: str = "text", least: flo
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, labels(spark, sf_dir), "quality", lambda c: fold(c, 3) != 1)
-    return score_documents(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score_documents(docs, model).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

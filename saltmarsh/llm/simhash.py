@@ -16,7 +16,10 @@ without pairs (see _dense_links), with the same components.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero
 and links like any other; texts with fewer words than a shingle hash the whole
-sequence; repeated rows share a fingerprint; an empty table gives an empty result.
+sequence; repeated rows share a fingerprint, also under one id with other texts;
+rows with a null id connect others and have their group's smallest id, null where
+no row of the group has one; texts of any length are read whole; other columns,
+whatever their names, take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,10 +159,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id."""
     rows = cut(fingerprints(docs, doc_id, text, shingle))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    label = components(links(distinct, max_bits)).select(F.col("node").alias("c_node"), "label")
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Fingerprints are their own numbers, so that one whose ids are all null still connects others; ids come in at the end.
+    label = components(links(distinct.select("fp", F.col("fp").alias("node")), max_bits))
+    rooted = distinct.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
+    ids = rooted.groupBy(F.col("root").alias("i_root")).agg(F.min("least").alias("component_id"))
     # A written table against plain rows, so that AQE can split a fingerprint that many copies share.
-    of_fp = cut(distinct.join(label, F.col("node") == F.col("c_node"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("label", "node").alias("component_id")))
+    of_fp = cut(rooted.join(ids, F.col("root") == F.col("i_root")).select(F.col("fp").alias("c_fp"), "component_id"))
     return rows.join(of_fp, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 

@@ -109,9 +109,10 @@ def fit(docs: DataFrame, marks: DataFrame, learn: Callable[[str], Column], doc_i
     rows = docs.where(learn(doc_id)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     m = marks.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").alias("m_id")).agg(F.max(label).alias("y"))
     known = m.where(learn("m_id")).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
-    if not known["p"]:
+    n_rows = rows.count()
+    if not known["p"] or not n_rows:
         return Words({}, -30.0)
-    prior, n_rows = known["p"] / known["n"], rows.count()
+    prior = known["p"] / known["n"]
 
     def drawn(c: str, share: float) -> Column:
         return F.pmod(F.xxhash64(F.lit(5), c), F.lit(1 << 20)) / (1 << 20) < min(1.0, share)
@@ -158,4 +159,4 @@ def score_documents(docs: DataFrame, model: Words, doc_id: str = "doc_id", text:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, labels(spark, sf_dir), lambda c: fold(c, HELD_OUT_PARTS) != 0)
-    return score_documents(docs, model).select("doc_id", (fold("doc_id", HELD_OUT_PARTS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score_documents(docs, model).select("doc_id", F.coalesce(fold("doc_id", HELD_OUT_PARTS) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
