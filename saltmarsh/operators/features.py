@@ -230,16 +230,34 @@ def streak(df: DataFrame, equal_resets: bool = False) -> DataFrame:
     return df.withColumn("streak", F.coalesce(n * F.col("dir"), F.lit(0)).cast("long"))
 
 
-def ema_slope(df: DataFrame, spans=(9, 21)) -> DataFrame:
-    """Fast less slow exponential mean of the session's closes; the recursion e = e + a (x - e) as a fold over the closes so far."""
-    closes = F.collect_list("close").over(so_far(SESSION))
-    df = df.withColumn("closes", closes)
+def ema(df: DataFrame, value: str, span: int, out: str, keys=SESSION, order: str = "bar_ts") -> DataFrame:
+    """Exponential mean e = e + a (x - e), a = 2 / (span + 1), from the first row of the keys on.
+
+    A row is an affine map of e.  Within a block of rows the maps compose to a
+    running sum of the values over powers of 1 - a; between blocks the last two
+    carry over, as what is older has a weight below 1e-150.  So a key's rows are
+    walked once, and nothing is collected.
+    """
+    a, w = 2.0 / (span + 1), rows(keys, order)
+    if span == 1:
+        return df.withColumn(out, F.col(value))
+    keep = 1 - a
+    block = max(2, int(-150 * math.log(10) / math.log(keep)))
+    names = {n: f"{out}__{n}" for n in ("at", "k", "block", "own", "carry")}
+    at = F.col(names["at"])
+    df = df.withColumn(names["at"], F.row_number().over(w) - 1).withColumn(names["k"], F.pmod(at, F.lit(block))).withColumn(names["block"], F.floor(at / block))
+    k = F.col(names["k"])
+    term = F.when(at == 0, F.col(value)).otherwise(F.col(value) * a) * F.pow(F.lit(keep), -k)
+    df = df.withColumn(names["own"], F.pow(F.lit(keep), k) * F.sum(term).over(so_far((*keys, names["block"]), order)))
+    last = lambda n: F.max_by(names["own"], names["at"]).over(Window.partitionBy(*keys).orderBy(names["block"]).rangeBetween(-n, -n))
+    carry = F.coalesce(last(1), F.lit(0.0)) + keep**block * F.coalesce(last(2), F.lit(0.0))
+    return df.withColumn(names["carry"], carry).withColumn(out, F.col(names["own"]) + F.pow(F.lit(keep), k + 1) * F.col(names["carry"])).drop(*names.values())
 
-    def ema(span: int) -> Column:
-        a = 2.0 / (span + 1)
-        return F.aggregate(F.slice("closes", 2, F.greatest(F.lit(0), F.size("closes") - 1)), F.get("closes", F.lit(0)), lambda e, x: e + F.lit(a) * (x - e))
 
-    return df.withColumn("ema_fast", ema(spans[0])).withColumn("ema_slow", ema(spans[1])).withColumn("ema_slope", F.col("ema_fast") - F.col("ema_slow")).drop("closes")
+def ema_slope(df: DataFrame, spans=(9, 21)) -> DataFrame:
+    """Fast less slow exponential mean of the session's closes."""
+    df = ema(ema(df, "close", spans[0], "ema_fast"), "close", spans[1], "ema_slow")
+    return df.withColumn("ema_slope", F.col("ema_fast") - F.col("ema_slow"))
 
 
 def volume_z(df: DataFrame, n: int = 30, least: int = 5) -> DataFrame:

@@ -222,19 +222,6 @@ reg(
     KEY, "efficiency pullback range_expansion",
 )
 reg("e40_eligibility", lambda v: E.eligibility(v.bars, 3, 2, 20), f"SELECT *, slot BETWEEN 2 AND 20 AND coalesce(lead(slot, 3) OVER ({D}) = slot + 3, false) AS eligible FROM bars", f"{KEY} eligible")
-
-
-def wide_matrix(bars):
-    """The registered matrix: session returns, volatility, path, baselines and time, one select of ordered columns."""
-    df = E.with_session_index(bars)
-    df = E.scaled_returns(df)
-    df = E.path_features(df)
-    df = E.time_features(df)
-    df = E.volume_surprise(df)
-    return E.eligibility(df, 3, 2, 20)
-
-
-reg("e41_wide_matrix", lambda v: wide_matrix(v.bars), None, f"{KEY} session_idx weekday eligible", "ret_1 ret_3 ret_6 annual_vol scaled_1 scaled_3 scaled_6 efficiency pullback range_expansion progress base_median volume_surprise")
 reg("e42_flow_means", lambda v: E.flow_means(v.daily, "value"), "SELECT date, avg(value) OVER (ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS flow_mean FROM daily", "date", "flow_mean")
 reg(
     "e46_forward_returns", lambda v: E.forward_returns(v.panel),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from saltmarsh.operators.bars import resample
@@ -35,6 +35,23 @@ class Views:
         b = resample(self.ticks, "hour", extra=[F.sum("oi_step").alias("oi")])
         return b.withColumn("trade_date", F.to_date("bar_ts")).withColumn("slot", F.hour("bar_ts").cast("long"))
 
+    @cached_property
+    def minutes(self) -> DataFrame:
+        """Minute bars of as many instruments as there are blocks of 150 users: the n-th event of a day is its n-th minute."""
+        e = self.table("events").withColumn("symbol", F.concat(F.lit("f"), F.floor(F.col("user_id") / 150))).withColumn("trade_date", F.to_date("ts"))
+        w = Window.partitionBy("symbol", "trade_date").orderBy("ts", "event_id")
+        size = F.regexp_extract("props", "[0-9]+", 0).cast("double")
+        e = e.select("symbol", "trade_date", (F.row_number().over(w) - 1).alias("seq"), F.coalesce(F.lag("value").over(w), F.col("value") + 1).alias("open"), F.col("value").alias("close"), size.alias("volume"), (F.col("user_id") % 50).cast("double").alias("oi"), (F.col("user_id") % 7 / 10).alias("spread"))
+        return e.select(
+            "symbol", (F.col("trade_date").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("seq") + 555)).alias("bar_ts"), "open",
+            (F.greatest("open", "close") + F.col("spread")).alias("high"), (F.least("open", "close") - F.col("spread")).alias("low"), "close", "volume", "oi",
+        )
+
+    @cached_property
+    def index_values(self) -> DataFrame:
+        """A daily index: mean order prices, moved on 10,000 days so that they reach the days of the events."""
+        return self.table("orders").groupBy(F.date_add(F.to_date("o_orderdate"), 10_000).alias("date")).agg((F.avg("o_totalprice") / 1000).alias("close"))
+
     @cached_property
     def daily(self) -> DataFrame:
         """One value a day: the mean order price."""
@@ -70,6 +87,10 @@ ticks AS (SELECT event_id, event_type AS symbol, ts, value AS price, CAST(regexp
 bars AS (SELECT symbol, date_trunc('hour', ts) AS bar_ts, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
   last(price ORDER BY ts, event_id) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS n_ticks, CAST(sum(oi_step) AS BIGINT) AS oi,
   CAST(date_trunc('hour', ts) AS DATE) AS trade_date, CAST(hour(date_trunc('hour', ts)) AS BIGINT) AS slot FROM ticks GROUP BY symbol, date_trunc('hour', ts)),
+minutes AS (SELECT symbol, CAST(trade_date AS TIMESTAMP) + to_minutes(seq + 555) AS bar_ts, open, greatest(open, close) + spread AS high, least(open, close) - spread AS low, close, volume, oi FROM (
+  SELECT 'f' || CAST(user_id // 150 AS VARCHAR) AS symbol, CAST(ts AS DATE) AS trade_date, row_number() OVER w - 1 AS seq, coalesce(lag(value) OVER w, value + 1) AS open, value AS close,
+  CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS volume, CAST(user_id % 50 AS DOUBLE) AS oi, user_id % 7 / 10 AS spread FROM events WINDOW w AS (PARTITION BY user_id // 150, CAST(ts AS DATE) ORDER BY ts, event_id))),
+index_values AS (SELECT CAST(o_orderdate AS DATE) + 10000 AS date, avg(o_totalprice) / 1000 AS close FROM orders GROUP BY 1),
 daily AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value FROM orders GROUP BY 1),
 panel AS (SELECT user_id AS name, CAST(ts AS DATE) AS date, last(value ORDER BY ts, event_id) AS value, count(*) AS n FROM events GROUP BY 1, 2),
 trades AS (SELECT l_suppkey AS config, CAST(year(l_shipdate) AS BIGINT) AS fold, CAST(l_shipdate AS DATE) AS date, l_orderkey AS order_key, CAST(l_linenumber AS BIGINT) AS line,
