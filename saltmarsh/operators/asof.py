@@ -35,6 +35,35 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     return left.join(filled, on, "left").drop("__lt", *[f"__{k}" for k in keys])
 
 
+def as_of_buckets(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: list[str], seconds: int, ties: str | None = None) -> DataFrame:
+    """``left`` with the columns ``value`` of the key's newest right row at or before its time, null where there is none.
+
+    Times are cut into buckets, and a window holds one key's rows of one bucket; the
+    last right row of each bucket, one row a bucket, is carried over the later ones.
+    So a key with very many rows is spread over as many tasks as it has buckets.  Of
+    right rows at one time, the one with the smallest ``ties`` counts.
+    """
+    def bucket(c: str):
+        return F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / seconds)
+
+    k, names = [f"__k{i}" for i in range(len(keys))], left.columns
+    order = F.struct(F.col("__t"), *([F.negate("__tie")] if ties else []))
+    r = right.select(*[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(right_time).alias("__t"), bucket(right_time).alias("__b"), F.struct(*value).alias("__v"), *([F.col(ties).cast("long").alias("__tie")] if ties else []))
+    rows = left.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), *[F.col(c).alias(n) for c, n in zip(keys, k, strict=True)], F.col(left_time).alias("__t"), bucket(left_time).alias("__b"))
+    ends = r.groupBy(*k, "__b").agg(F.max_by("__v", order).alias("__end"))
+    both = ends.unionByName(rows.select(*k, "__b").distinct(), allowMissingColumns=True).groupBy(*k, "__b").agg(F.first("__end", ignorenulls=True).alias("__end"))
+    before = Window.partitionBy(*k).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.select(*[F.col(c).alias(f"c{c}") for c in k], F.col("__b").alias("c__b"), F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    mixed = r.withColumn("__side", F.lit(0)).unionByName(rows.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    here = Window.partitionBy(*k, "__b").orderBy("__t", "__side", *([F.col("__tie").desc()] if ties else []))
+    found = mixed.withColumn("__here", F.last("__v", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))).where("__side = 1")
+    on = F.lit(True)
+    for c in [*k, "__b"]:
+        on = on & F.col(c).eqNullSafe(F.col(f"c{c}"))
+    best = found.join(carried, on, "left").select("__row.*", F.coalesce("__here", "__carried").alias("__best"))
+    return best.select(*names, *[F.col(f"__best.{c}").alias(f"asof_{c}") for c in value])
+
+
 def previous_day_value(days: DataFrame, calendar: DataFrame, value: str) -> DataFrame:
     """Value on the trading day before; no fallback to older values.  Both tables have one row a day."""
     c = calendar.withColumn("prev", F.lag("date").over(Window.partitionBy(F.lit(0)).orderBy("date")))
