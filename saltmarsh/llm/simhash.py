@@ -160,12 +160,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of ``docs``: doc_id, fp (signed long), component_id."""
     rows = cut(fingerprints(docs, doc_id, text, shingle))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # Fingerprints are their own numbers, so that one whose ids are all null still connects others; ids come in at the end.
-    label = components(links(distinct.select("fp", F.col("fp").alias("node")), max_bits))
-    rooted = distinct.join(label, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
-    ids = rooted.groupBy(F.col("root").alias("i_root")).agg(F.min("least").alias("component_id"))
+    # A node is known by its smallest id and its fingerprint, so that one whose ids are all null still connects others.
+    distinct = distinct.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("node"))
+    label = components(links(distinct, max_bits)).select(F.col("node").alias("c_node"), "label")
     # A written table against plain rows, so that AQE can split a fingerprint that many copies share.
-    of_fp = cut(rooted.join(ids, F.col("root") == F.col("i_root")).select(F.col("fp").alias("c_fp"), "component_id"))
+    of_fp = cut(distinct.join(label, F.col("node") == F.col("c_node"), "left").select(F.col("fp").alias("c_fp"), F.coalesce("label", "node")["least"].alias("component_id")))
     return rows.join(of_fp, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
 
 
