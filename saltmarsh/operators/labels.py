@@ -8,6 +8,9 @@ higher-order functions over that array, inside the JVM.  Frames are bounded by
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,29 +72,51 @@ def close_parity(df: DataFrame, keys: list[str], order: str, horizon: int, up: f
     return df.withColumn("long_label", (long_t < long_s).cast("long")).withColumn("short_label", (short_t < short_s).cast("long"))
 
 
-def keep_disjoint(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Rows kept in order of start, each only if it starts after the end of the one kept before.
+def _in_order(df: DataFrame, keys: list[str], order: list[Column], returned: str, state: Callable[[], object], step: Callable[[object, tuple], tuple[object, bool]]) -> DataFrame:
+    """(keys, returned) of the rows that ``step`` keeps, walking each key's rows in order.
 
-    A fold over the group's sorted (start, end) array; groups are gated signals of
-    one key, which are few.
+    A task walks its keys' sorted rows with one state at a time, which is all it
+    holds; a key of any length passes through, as its choices depend on each other.
+    ``step`` gets the state and the values of ``order``.
     """
-    spans = F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))))
-    kept = F.aggregate(
-        spans, F.struct(F.lit(-1).cast("long").alias("until"), F.array().cast("array<bigint>").alias("k")),
-        lambda acc, x: F.when(x["s"] > acc["until"], F.struct(x["e"].alias("until"), F.concat(acc["k"], F.array(x["s"])).alias("k"))).otherwise(acc),
-    )["k"]
-    return df.groupBy(*keys).agg(kept.alias("__kept")).select(*keys, F.explode("__kept").alias(start))
+    n, kind = len(keys), df.schema[returned].dataType.simpleString()
+    names = [*[f"k{i}" for i in range(n)], *[f"o{i}" for i in range(len(order))], "r"]
+    rows = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(returned).alias("r"))
+    rows = rows.repartition(*names[:n]).sortWithinPartitions(*names[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, None
+        for b in batches:
+            kept = []
+            for row in zip(*[c.to_pylist() for c in b.columns[:-1]], strict=True):
+                if at is None or row[:n] != now:
+                    now, at = row[:n], state()
+                at, keep = step(at, row[n:])
+                kept.append(keep)
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in (*b.columns[:n], b.columns[-1])], [*names[:n], "r"])
+
+    schema = ", ".join([*[f"k{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keys)], f"r {kind}"])
+    return rows.select(*names).mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keys)], F.col("r").alias(returned))
+
+
+def keep_disjoint(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Rows kept in order of start, each only if it starts after the end of the one kept before."""
+
+    def step(until: int, row: tuple) -> tuple[int, bool]:
+        return (row[1], True) if row[0] > until else (until, False)
+
+    return _in_order(df, keys, [F.col(start).cast("long"), F.col(end).cast("long")], start, lambda: -1, step)
 
 
 def daily_admission(df: DataFrame, keys: list[str], order: str, pnl: str, most: int, halt: float) -> DataFrame:
-    """At most ``most`` trades of a day in order, and none once the realised sum is at or below ``halt``."""
-    trades = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(pnl).alias("p"))))
-    acc0 = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("k"))
-    kept = F.aggregate(
-        trades, acc0,
-        lambda a, x: F.when((a["n"] < most) & (a["sum"] > halt), F.struct((a["n"] + 1).alias("n"), (a["sum"] + x["p"]).alias("sum"), F.concat(a["k"], F.array(x["o"])).alias("k"))).otherwise(a),
-    )["k"]
-    return df.groupBy(*keys).agg(kept.alias("__kept")).select(*keys, F.explode("__kept").alias(order))
+    """At most ``most`` trades of a day in order, and none once the realised sum is at or below ``halt``; a null result counts as 0."""
+
+    def step(at: tuple[int, float], row: tuple) -> tuple[tuple[int, float], bool]:
+        n, total = at
+        return ((n + 1, total + (row[1] or 0.0)), True) if n < most and total > halt else (at, False)
+
+    return _in_order(df, keys, [F.col(order).cast("long"), F.col(pnl).cast("double")], order, lambda: (0, 0.0), step)
 
 
 def viability(df: DataFrame, keys: list[str], order: str, horizon: int, geometries: list[tuple[float, float]], cost_bps: float) -> DataFrame:

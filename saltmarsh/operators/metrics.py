@@ -82,6 +82,30 @@ def folds(df: DataFrame, keys: list[str], value: str, date: str = "date", bucket
     return weekly.unionByName(yearly)
 
 
+def fold_tables(df: DataFrame, keys: list[str], value: str, date: str = "date", bucket: int = 5) -> DataFrame:
+    """By run of ``bucket`` trading days, by day and by year: kind, fold, n, wins, losses, ev, total, days of each key."""
+    days = df.select(*keys, date).distinct().withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(date)) - 1)
+    day = F.struct(F.lit("day").alias("kind"), F.col(date).cast("string").alias("fold"))
+    year = F.struct(F.lit("year").alias("kind"), F.year(date).cast("string").alias("fold"))
+    run = F.struct(F.lit("bucket").alias("kind"), F.floor(F.col("__r") / bucket).cast("string").alias("fold"))
+    # A day's sums first: the three tables are then made of one row a key and day.
+    by_day = df.groupBy(*keys, date).agg(F.count("*").alias("n"), F.count_if(F.col(value) > 0).alias("wins"), F.count_if(F.col(value) < 0).alias("losses"), F.sum(value).alias("total"), F.count(value).alias("__n"))
+    long = by_day.join(days, [*keys, date]).select(*keys, F.explode(F.array(run, day, year)).alias("f"), "n", "wins", "losses", "total", "__n")
+    return long.groupBy(*keys, F.col("f.kind").alias("kind"), F.col("f.fold").alias("fold")).agg(
+        F.sum("n").alias("n"), F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.try_divide(F.sum("total"), F.sum("__n")).alias("ev"), F.sum("total").alias("total"), F.count("*").alias("days"),
+    )
+
+
+def selection_folds(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """The folds by which a key is chosen: the first kind of bucket, day and year that has two folds or more, else those by year."""
+    counts = tables.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("bucket", "day", "year")])
+    chosen = counts.withColumn("chosen", F.when(F.col("n_bucket") >= 2, "bucket").when(F.col("n_day") >= 2, "day").otherwise("year"))
+    on = F.col("kind") == F.col("chosen")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return tables.join(chosen, on).select(*tables.columns)
+
+
 def candidate_summary(df: DataFrame, key: str, value: str, fold: str = "fold", least: int = 1) -> DataFrame:
     by = df.groupBy(key, fold).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
     return by.groupBy(key).agg(F.sum("n").alias("n"), F.min(F.col("s") / F.col("n")).alias("worst_fold"), F.avg((F.col("s") > 0).cast("double")).alias("positive_folds"), (F.sum("s") / F.sum("n")).alias("ev"))

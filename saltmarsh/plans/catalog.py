@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from saltmarsh.plans import audit, features, feeds, flows, joins, labels, matrix, metrics, more, quality  # noqa: F401  (they register)
+from saltmarsh.plans import audit, features, feeds, flows, joins, labels, matrix, metrics, more, passes, quality  # noqa: F401  (they register)
 from saltmarsh.plans.registry import flagship, oracle_sql, queries  # noqa: F401
