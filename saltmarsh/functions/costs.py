@@ -97,3 +97,10 @@ def month_chunks(df: DataFrame, first: str, last: str) -> DataFrame:
     """One row for each calendar month of the range, cut to it."""
     m = F.explode(F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))).alias("month")
     return df.select("*", m).withColumn("chunk_from", F.greatest(F.col(first), F.col("month"))).withColumn("chunk_to", F.least(F.col(last), F.last_day("month")))
+
+
+def day_chunks(df: DataFrame, first: str, last: str, days: int = 30) -> DataFrame:
+    """One row for each run of ``days`` days of the range from its first day on, the last one cut to it."""
+    starts = F.explode(F.sequence(F.lit(0), F.floor(F.datediff(last, first) / days).cast("int"))).alias("chunk")
+    at = F.date_add(first, F.col("chunk") * days)
+    return df.where(F.col(first) <= F.col(last)).select("*", starts).withColumn("chunk_from", at).withColumn("chunk_to", F.least(F.col(last), F.date_add(at, days - 1)))

@@ -121,3 +121,77 @@ def nine_ways(rows: DataFrame, at: str = "bar_ts", block: int = 20) -> DataFrame
     g = df.groupingSets([[F.col(d)] for d in DIMENSIONS], *DIMENSIONS).agg(F.count("*").alias("n"), F.count(net).alias("trades"), F.avg(net).alias("net"), F.avg((net > 0).cast("double")).alias("hit_rate"), *[F.grouping(d).alias(f"__g_{d}") for d in DIMENSIONS])
     pick = lambda f: F.coalesce(*[F.when(F.col(f"__g_{d}") == 0, f(d)) for d in DIMENSIONS])
     return g.select(pick(F.lit).alias("dim"), pick(lambda d: F.col(d).cast("string")).alias("level"), "n", "trades", "net", "hit_rate")
+
+
+def futures_feed(df: DataFrame, is_future: Column, at: str = "bar_ts", order: tuple[str, ...] = ("bar_ts",), require_volume: bool = True, stale_after: int = 5, stale_fails: bool = False) -> DataFrame:
+    """``df`` with ``failures`` and ``warnings`` (arrays) of a futures feed's rows.
+
+    ``df`` has symbol, tradingsymbol, instrument_token, expiry, continuous (a rolled
+    series needs none of the three), volume and oi.  Open interest is stale from the
+    ``stale_after``-th repetition on of one positive value of the symbol; rows without
+    positive open interest neither repeat nor end such a run.
+    """
+    positive = F.col("oi") > 0
+    seen = Window.partitionBy("symbol").orderBy(*order)
+    before = F.last(F.when(positive, F.col("oi")), ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("__new", F.when(positive & ~F.coalesce(F.col("oi") == before, F.lit(False)), 1).otherwise(0))
+    df = df.withColumn("__run", F.sum("__new").over(seen.rowsBetween(Window.unboundedPreceding, 0)))
+    repeated = F.sum(F.when(positive, 1).otherwise(0)).over(Window.partitionBy("symbol", "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    df = df.withColumn("__stale", positive & (F.lit(stale_after) > 0) & (repeated >= stale_after))
+    rolled, blank = F.coalesce("continuous", F.lit(False)), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    bad_oi, bad_volume = F.coalesce(F.col("oi") < 0, F.lit(True)), F.coalesce(F.col("volume") < 0, F.lit(True))
+    failures = _listed(
+        F.when(~F.coalesce(is_future, F.lit(False)), F.lit("index_proxy_or_missing_futures_symbol")), F.when(F.col(at).isNull(), F.lit("missing_timestamp")),
+        *[F.when(~rolled & blank(c), F.lit(f"missing_{c}")) for c in ("expiry", "tradingsymbol", "instrument_token")],
+        F.when(bad_oi, F.lit("missing_or_negative_oi")), F.when(F.col("__stale") & F.lit(stale_fails), F.lit("stale_oi")), F.when(bad_volume & F.lit(require_volume), F.lit("missing_or_negative_volume")),
+    )
+    warnings = _listed(F.when(F.col("oi") == 0, F.lit("zero_oi")), F.when(F.col("__stale") & ~F.lit(stale_fails), F.lit("stale_oi")), F.when(F.col("volume") == 0, F.lit("zero_volume")))
+    return df.withColumns({"failures": failures, "warnings": warnings}).drop("__new", "__run", "__stale")
+
+
+def feed_summary(checked: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Rows, shares of zero open interest and volume, rows with failures and with warnings, and whether the feed passes."""
+    g = checked.groupBy(*keys).agg(
+        F.count("*").alias("rows"), F.avg((F.coalesce(F.col("oi"), F.lit(-1)) == 0).cast("double")).alias("zero_oi_share"), F.avg((F.coalesce(F.col("volume"), F.lit(-1)) == 0).cast("double")).alias("zero_volume_share"),
+        F.count_if(F.size("failures") > 0).alias("failed"), F.count_if(F.size("warnings") > 0).alias("warned"),
+    )
+    return g.withColumn("validated", (F.col("rows") > 0) & (F.col("failed") == 0))
+
+
+# Bounds of the ratio of expected to observed open interest.
+NEAR_ONE, X100_FROM, X100 = (0.5, 2.0), 10.0, 100
+
+
+def oi_regimes(bars: DataFrame, calendar: DataFrame, keys: list[str], at: str = "bar_ts") -> DataFrame:
+    """One row a key and day of ``bars``: expected over last non-zero open interest, and the regime of its scale.
+
+    ``calendar`` has the keys, trade_date and front_oi.
+    """
+    traded = F.coalesce(F.col("oi") != 0, F.lit(False))
+    days = bars.groupBy(*keys, F.to_date(at).alias("trade_date")).agg(F.max_by(F.when(traded, F.col("oi")), F.when(traded, F.col(at))).cast("double").alias("raw_oi"))
+    on = [*keys, "trade_date"]
+    df = days.join(calendar.select(*on, F.col("front_oi").cast("double").alias("expected_oi")), on, "left").withColumn("ratio", F.col("expected_oi") / F.col("raw_oi"))
+    regime = F.when(F.col("ratio").isNull(), "unknown").when(F.col("ratio").between(*NEAR_ONE), "near_one").when(F.col("ratio") >= X100_FROM, "x100_raw_oi").otherwise("ambiguous")
+    return df.withColumn("regime", regime)
+
+
+def oi_boundaries(regimes: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key: the first day off by a hundred, the last day near one before it, and the days of each regime."""
+    first = regimes.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(F.when(F.col("regime") == "x100_raw_oi", F.col("trade_date"))).alias("first_x100"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    near = (F.col("regime") == "near_one") & (F.col("trade_date") < F.col("first_x100"))
+    return regimes.join(first, on).groupBy(*keys, "first_x100").agg(
+        F.max(F.when(near, F.col("trade_date"))).alias("last_near_one_before"), *[F.count_if(F.col("regime") == r).alias(f"n_{r}") for r in ("near_one", "x100_raw_oi", "ambiguous", "unknown")],
+    )
+
+
+def rescaled_oi(bars: DataFrame, regimes: DataFrame, keys: list[str], at: str = "bar_ts") -> DataFrame:
+    """``bars`` with open interest times 100 on the days that are off by a hundred; other days as they are."""
+    off = regimes.where("regime = 'x100_raw_oi'").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("trade_date").alias("__day"))
+    on = F.to_date(at) == F.col("__day")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    met = bars.join(off, on, "left")
+    return met.withColumn("oi", F.when(F.col("__day").isNotNull(), F.col("oi") * X100).otherwise(F.col("oi"))).select(*bars.columns)

@@ -37,7 +37,7 @@ reg(
     "a06_changed_only", lambda v: T.changed_only(v.bars, ["symbol", "trade_date"], ["bar_ts", "close"], T.fingerprints(v.bars.withColumn("close", F.when(F.col("slot") == 5, F.col("close") + 1).otherwise(F.col("close"))), ["symbol", "trade_date"], ["bar_ts", "close"])),
     "SELECT symbol, bar_ts FROM bars b WHERE EXISTS (SELECT 1 FROM bars c WHERE c.symbol = b.symbol AND c.trade_date = b.trade_date AND c.slot = 5)", "symbol bar_ts",
 )
-reg("a09_append_missing_days", lambda v: T.append_missing_days(v.bars, v.bars.where("slot >= 22"), ["symbol", "trade_date"]), "SELECT symbol, bar_ts FROM bars b WHERE NOT EXISTS (SELECT 1 FROM bars c WHERE c.slot >= 22 AND c.symbol = b.symbol AND c.trade_date = b.trade_date)", "symbol bar_ts")
+reg("a09_append_missing_days", lambda v: T.append_missing_days(v.bars, v.bars.where((F.col("slot") >= 22) & (F.dayofmonth("trade_date") % 3 != 0)), ["symbol", "trade_date"]), "SELECT symbol, bar_ts FROM bars b WHERE NOT EXISTS (SELECT 1 FROM bars c WHERE c.slot >= 22 AND day(c.trade_date) % 3 <> 0 AND c.symbol = b.symbol AND c.trade_date = b.trade_date)", "symbol bar_ts")
 reg("a11_typed_filter", lambda v: v.table("lineitem").where(F.trim("l_returnflag") == "A").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("string").try_cast("double").alias("quantity"), F.date_add(F.to_date("l_shipdate"), 1).alias("usable_from")), "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS quantity, CAST(CAST(l_shipdate AS DATE) + 1 AS DATE) AS usable_from FROM lineitem WHERE l_returnflag = 'A'", "l_orderkey l_linenumber usable_from", "quantity")
 reg(
     "a14_candle_arrays", lambda v: T.candle_arrays(v.bars.groupBy("symbol", "trade_date").agg(F.to_json(F.collect_list(F.array(*[F.col(c).cast("string") for c in ("bar_ts", "open", "high", "low", "close", "volume", "oi")]))).alias("candles")), "candles"),

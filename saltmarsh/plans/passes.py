@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from saltmarsh.functions import costs as C
+from saltmarsh.operators import asof as J
 from saltmarsh.operators import bars as B
-from saltmarsh.operators import callers, checks, crossfit, ranks
+from saltmarsh.operators import callers, checks, crossfit, meta, ranks
+from saltmarsh.operators import features as E
 from saltmarsh.operators import metrics as M
 from saltmarsh.plans.views import reg
+from saltmarsh.sources import tables as T
+from saltmarsh.streaming import jobs as S
 
 reg(
     "d01_five_minute_bars", lambda v: B.resample(v.ticks.withColumn("symbol", F.concat_ws("-", "symbol", F.col("oi_step") % 5)), 5),
@@ -83,8 +91,6 @@ reg(
 
 
 def _scored(v):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("symbol", F.to_date("bar_ts")).orderBy("bar_ts")
     r = lambda n: F.col("close") / F.nullif(F.lag("close", n).over(w), F.lit(0.0)) - 1
     side = F.when(F.col("volume") % 3 == 0, "LONG").when(F.col("volume") % 3 == 1, "SHORT").otherwise("NO_TRADE")
@@ -159,3 +165,144 @@ reg(
     UNION ALL SELECT kind, CAST(config AS VARCHAR), detail, count(*) FROM m WHERE kind IS NOT NULL GROUP BY 1, 2, 3""",
     "kind name detail n",
 )
+
+
+_FEED = """f AS (SELECT CASE WHEN n % 31 = 0 THEN 'NIFTY 50' ELSE symbol END AS symbol, bar_ts, n % 13 = 0 AS no_name, n % 17 = 0 AS no_token, n % 19 = 0 AS no_expiry, n % 7 = 0 AS continuous, CASE WHEN n % 23 <> 0 THEN floor(oi / 25) * 100 END AS oi, CASE WHEN n % 29 = 0 THEN -1.0 WHEN n % 11 <> 0 THEN volume - 2 END AS volume, symbol AS own, close
+  FROM (SELECT *, CAST(volume AS BIGINT) AS n FROM minutes)),
+g AS (SELECT *, CASE WHEN oi > 0 AND NOT coalesce(oi = last_value(CASE WHEN oi > 0 THEN oi END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_ts, own ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 1 ELSE 0 END AS fresh FROM f),
+h AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY bar_ts, own ROWS UNBOUNDED PRECEDING) AS run FROM g),
+k AS (SELECT *, oi > 0 AND sum(CASE WHEN oi > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, run ORDER BY bar_ts, own ROWS UNBOUNDED PRECEDING) - 1 >= 5 AS stale FROM h),
+c AS (SELECT symbol, own, bar_ts, oi, volume, concat_ws(',', CASE WHEN symbol = 'NIFTY 50' THEN 'index_proxy_or_missing_futures_symbol' END, CASE WHEN NOT continuous AND no_expiry THEN 'missing_expiry' END, CASE WHEN NOT continuous AND no_name THEN 'missing_tradingsymbol' END, CASE WHEN NOT continuous AND no_token THEN 'missing_instrument_token' END,
+  CASE WHEN oi IS NULL OR oi < 0 THEN 'missing_or_negative_oi' END, CASE WHEN volume IS NULL OR volume < 0 THEN 'missing_or_negative_volume' END) AS failures, concat_ws(',', CASE WHEN oi = 0 THEN 'zero_oi' END, CASE WHEN stale THEN 'stale_oi' END, CASE WHEN volume = 0 THEN 'zero_volume' END) AS warnings FROM k)"""
+
+
+def _feed(v):
+    """Minute bars as a futures feed with what such feeds lack now and then."""
+    n = F.col("volume").cast("long")
+    return v.minutes.select(
+        F.col("symbol").alias("own"), F.when(n % 31 == 0, "NIFTY 50").otherwise(F.col("symbol")).alias("symbol"), "bar_ts", F.when(n % 13 != 0, F.col("symbol")).alias("tradingsymbol"), F.when(n % 17 != 0, n).alias("instrument_token"),
+        F.when(n % 19 != 0, F.lit("2024-02-01")).alias("expiry"), (n % 7 == 0).alias("continuous"), F.when(n % 23 != 0, F.floor(F.col("oi") / 25) * 100).cast("double").alias("oi"), F.when(n % 29 == 0, -1.0).when(n % 11 != 0, F.col("volume") - 2).alias("volume"),
+    )
+
+
+def _checked(v):
+    return checks.futures_feed(_feed(v), F.col("symbol") != "NIFTY 50", order=("bar_ts", "own"))
+
+
+reg(
+    "b10_feed_rows", lambda v: _checked(v).where((F.size("failures") > 0) | (F.size("warnings") > 0)).select("symbol", "own", "bar_ts", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings")),
+    f"WITH {_FEED} SELECT symbol, own, bar_ts, failures, warnings FROM c WHERE failures <> '' OR warnings <> ''", "symbol own bar_ts failures warnings",
+)
+reg(
+    "b10_feed_summary", lambda v: checks.feed_summary(_checked(v), ["symbol"]),
+    f"WITH {_FEED} SELECT symbol, count(*) AS rows, avg(CASE WHEN oi = 0 THEN 1.0 ELSE 0.0 END) AS zero_oi_share, avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) AS zero_volume_share, count(*) FILTER (failures <> '') AS failed, count(*) FILTER (warnings <> '') AS warned, count(*) FILTER (failures <> '') = 0 AS validated FROM c GROUP BY symbol",
+    "symbol rows failed warned validated", "zero_oi_share zero_volume_share",
+)
+
+
+def _expected_oi(v):
+    """What the exchange would publish: the day's last open interest, from the tenth day on in units a hundred times finer."""
+    d = F.dayofmonth("trade_date")
+    own = v.minutes.where("oi <> 0").groupBy("symbol", F.to_date("bar_ts").alias("trade_date")).agg(F.max_by("oi", "bar_ts").alias("o"))
+    return own.select("symbol", "trade_date", F.when(d % 7 == 0, F.lit(None).cast("double")).when(d % 5 == 0, F.col("o") * 4).when(d >= 10, F.col("o") * 90).otherwise(F.col("o") * 1.5).alias("front_oi")).where(d % 11 != 0)
+
+
+def _regimes(v):
+    return checks.oi_regimes(v.minutes, _expected_oi(v), ["symbol"])
+
+
+_OI = """d AS (SELECT symbol, CAST(bar_ts AS DATE) AS trade_date, last(oi ORDER BY bar_ts) FILTER (oi <> 0) AS raw_oi FROM minutes GROUP BY 1, 2),
+r AS (SELECT symbol, trade_date, raw_oi, CASE WHEN day(trade_date) % 11 = 0 OR day(trade_date) % 7 = 0 THEN NULL WHEN day(trade_date) % 5 = 0 THEN raw_oi * 4 WHEN day(trade_date) >= 10 THEN raw_oi * 90 ELSE raw_oi * 1.5 END AS expected_oi FROM d),
+g AS (SELECT *, expected_oi / raw_oi AS ratio, CASE WHEN expected_oi / raw_oi IS NULL THEN 'unknown' WHEN expected_oi / raw_oi BETWEEN 0.5 AND 2 THEN 'near_one' WHEN expected_oi / raw_oi >= 10 THEN 'x100_raw_oi' ELSE 'ambiguous' END AS regime FROM r)"""
+reg("d26_oi_scale", _regimes, f"WITH {_OI} SELECT symbol, trade_date, raw_oi, expected_oi, ratio, regime FROM g", "symbol trade_date regime", "raw_oi expected_oi ratio")
+reg(
+    "d26_oi_boundaries", lambda v: checks.oi_boundaries(_regimes(v), ["symbol"]),
+    f"""WITH {_OI}, b AS (SELECT symbol AS s, min(trade_date) FILTER (regime = 'x100_raw_oi') AS first_x100 FROM g GROUP BY 1) SELECT symbol, first_x100, max(trade_date) FILTER (regime = 'near_one' AND trade_date < first_x100) AS last_near_one_before,
+      {", ".join(f"count(*) FILTER (regime = '{r}') AS n_{r}" for r in ("near_one", "x100_raw_oi", "ambiguous", "unknown"))} FROM g JOIN b ON s = symbol GROUP BY 1, 2""",
+    "symbol first_x100 last_near_one_before n_near_one n_x100_raw_oi n_ambiguous n_unknown",
+)
+reg("d26_rescaled_oi", lambda v: checks.rescaled_oi(v.minutes, _regimes(v), ["symbol"]), f"WITH {_OI} SELECT m.symbol, bar_ts, CASE WHEN regime = 'x100_raw_oi' THEN oi * 100 ELSE oi END AS oi FROM minutes m JOIN g ON g.symbol = m.symbol AND trade_date = CAST(bar_ts AS DATE)", "symbol bar_ts", "oi")
+
+
+def _decided(v):
+    s = v.scores.withColumn("side", F.when(F.col("p") >= 0.5, "LONG").otherwise("SHORT"))
+    win = (F.col("y") == 1) == (F.col("side") == "LONG")
+    held = F.make_dt_interval(mins=F.col("event_id") % 300)
+    return s.withColumns({"win": win, "exit_ts": F.when(F.col("event_id") % 17 != 0, F.col("ts") + held)})
+
+
+_RATES = """s AS (SELECT event_id, symbol, ts, p, CASE WHEN p >= 0.5 THEN 'LONG' ELSE 'SHORT' END AS side, (y = 1) = (p >= 0.5) AS win, CASE WHEN event_id % 17 <> 0 THEN ts + to_minutes(event_id % 300) END AS exit_ts FROM scores),
+o AS (SELECT symbol, side, exit_ts, event_id, avg(CAST(win AS DOUBLE)) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS rate, count(*) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) / 20 AS maturity FROM s WHERE exit_ts IS NOT NULL WINDOW w AS (PARTITION BY symbol, side ORDER BY exit_ts, event_id)),
+q AS (SELECT symbol, side, exit_ts, max_by(rate, event_id) AS rate, max_by(maturity, event_id) AS maturity FROM o GROUP BY 1, 2, 3),
+t AS (SELECT s.event_id, s.side, coalesce(q.rate, 0.5) AS win_rate, coalesce(q.maturity, 0) AS maturity FROM s ASOF LEFT JOIN q ON s.symbol = q.symbol AND s.side = q.side AND s.ts > q.exit_ts)"""
+reg(
+    "m04_resolved_rates", lambda v: meta.filtered_actions(meta.resolved_rates(_decided(v), ["symbol", "side"], "ts", "exit_ts", "win", "event_id").withColumnRenamed("side", "action"), "action", "win_rate", 0.45),
+    f"WITH {_RATES} SELECT event_id, CASE WHEN win_rate >= 0.45 THEN side ELSE 'NO_TRADE' END AS action, win_rate, maturity FROM t", "event_id action", "win_rate maturity",
+)
+_W = "PARTITION BY symbol ORDER BY bar_ts"
+_RETURN = lambda n: f"CASE WHEN lag(close, {n}) OVER w <> 0 THEN coalesce(close / lag(close, {n}) OVER w - 1, 0) ELSE 0 END"
+
+
+def _family_f(v):
+    df = E.time_features(E.volatility(v.bars))
+    return df.withColumn("trend", F.when(F.col("r1") > 0, "up").when(F.col("r1") < 0, "down").otherwise("flat"))
+
+
+def _family_m(v):
+    return E.running_vwap(E.volume_ratio(E.price_returns(v.bars, (1, 3))))
+
+
+def _family_x(v):
+    df = E.price_returns(v.bars, (1, 3))
+    market = df.groupBy("bar_ts").agg(F.avg("return_1").alias("return_1"))
+    return E.cross_section_rank(J.relative_strength(df, market, "bar_ts", "return_1"), "relative")
+
+
+_PRICES = f"p AS (SELECT *, {_RETURN(1)} AS return_1, {_RETURN(3)} AS return_3 FROM bars WINDOW w AS ({_W}))"
+reg(
+    "e48_volatility_calendar_regime", _family_f,
+    f"""SELECT symbol, bar_ts, (dayofweek(trade_date) + 6) % 7 AS weekday, slot / 23.0 AS progress, high - low AS bar_range, range_bps, coalesce(stddev_pop(r1) OVER ({_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0) AS volatility, CASE WHEN r1 > 0 THEN 'up' WHEN r1 < 0 THEN 'down' ELSE 'flat' END AS trend
+      FROM (SELECT *, CASE WHEN close <> 0 THEN (high - low) / close * 10000 ELSE 0 END AS range_bps, CASE WHEN lag(close) OVER w <> 0 THEN close / lag(close) OVER w - 1 END AS r1 FROM bars WINDOW w AS ({_W}))""",
+    "symbol bar_ts weekday trend", "progress bar_range range_bps volatility",
+)
+reg(
+    "e48_price_volume_vwap", _family_m,
+    f"""WITH {_PRICES} SELECT symbol, bar_ts, return_1, return_3, CASE WHEN m > 0 THEN volume / m ELSE 1 END AS volume_ratio, CASE WHEN vwap <> 0 THEN close / vwap - 1 ELSE 0 END AS vwap_distance FROM (SELECT *, avg(volume) OVER ({_W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m,
+      coalesce(sum(close * volume) OVER ({_W} ROWS UNBOUNDED PRECEDING) / nullif(sum(volume) OVER ({_W} ROWS UNBOUNDED PRECEDING), 0), close) AS vwap FROM p)""",
+    "symbol bar_ts", "return_1 return_3 volume_ratio vwap_distance",
+)
+reg(
+    "e48_price_relative_rank", _family_x,
+    f"""WITH {_PRICES} SELECT symbol, bar_ts, return_1, return_3, relative, (row_number() OVER (PARTITION BY bar_ts ORDER BY relative, symbol) - 1) / greatest(count(*) OVER (PARTITION BY bar_ts) - 1, 1) AS cs_rank FROM (SELECT *, return_1 - avg(return_1) OVER (PARTITION BY bar_ts) AS relative FROM p)""",
+    "symbol bar_ts", "return_1 return_3 relative",
+)
+
+
+def _bars_log(v):
+    """Minute bars as an unbroken log of each symbol, in which some bars come late."""
+    seq = F.row_number().over(Window.partitionBy("symbol").orderBy("bar_ts"))
+    log = v.minutes.withColumn("seq", seq).withColumn("bar_id", F.when(F.col("seq") % 50 == 0, F.col("seq") - 2).otherwise(F.col("seq"))).withColumn("content", F.concat_ws("|", "symbol", "seq"))
+    return log.withColumn("stored", F.sha2("content", 256)).withColumn("previous", F.coalesce(F.lag("stored").over(Window.partitionBy("symbol").orderBy("seq")), F.lit("GENESIS")))
+
+
+reg(
+    "s08_rising_bars", lambda v: S.chain_violations(_bars_log(v), "symbol", "seq", "content", "stored", "previous", (["symbol"], "bar_id")),
+    "SELECT symbol, seq, 'order' AS violations FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS seq FROM minutes) WHERE seq % 50 = 0", "symbol seq violations",
+)
+
+
+def _lake(v) -> str:
+    path = S.scratch(v.spark) + "/silver"
+    T.write_partitions(v.bars.select("symbol", "trade_date", "bar_ts", "close"), path, "trade_date", "symbol")
+    return path
+
+
+reg(
+    "a03_date_range_scan", lambda v: T.scan(v.spark, _lake(v), ["symbol", "bar_ts", "trade_date", "close"], {"trade_date": (date(2024, 1, 5), date(2024, 1, 9))}, symbol=["click", "view"]),
+    "SELECT symbol, bar_ts, trade_date, close FROM bars WHERE symbol IN ('click', 'view') AND trade_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'", "symbol bar_ts trade_date", "close",
+)
+reg(
+    "i08_thirty_day_chunks", lambda v: C.day_chunks(v.table("orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b")), "a", "b"),
+    "SELECT o_custkey, CAST(a + CAST(k * 30 AS INTEGER) AS DATE) AS chunk_from, CAST(least(b, a + CAST(k * 30 + 29 AS INTEGER)) AS DATE) AS chunk_to FROM (SELECT *, unnest(range(0, (b - a) // 30 + 1)) AS k FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1))",
+    "o_custkey chunk_from chunk_to",
+)

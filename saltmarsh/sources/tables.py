@@ -39,11 +39,16 @@ def write_partitions(df: DataFrame, path: str, *by: str) -> None:
     df.repartition(*by).write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").parquet(path)
 
 
-def scan(spark: SparkSession, path: str, columns: list[str], **partitions: list) -> DataFrame:
-    """Columns of the given partitions; the filter is on partition columns, so other files are not read."""
+def scan(spark: SparkSession, path: str, columns: list[str], between: dict[str, tuple] | None = None, **partitions: list) -> DataFrame:
+    """Columns of the given partitions, by lists of values and by ranges (either end may be None); the filters are on partition columns, so other files are not read."""
     df = spark.read.parquet(path)
     for c, values in partitions.items():
         df = df.where(F.col(c).isin(values))
+    for c, (first, last) in (between or {}).items():
+        if first is not None:
+            df = df.where(F.col(c) >= F.lit(first))
+        if last is not None:
+            df = df.where(F.col(c) <= F.lit(last))
     return df.select(*columns)
 
 

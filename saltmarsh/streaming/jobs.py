@@ -76,12 +76,19 @@ def running_state(stream: DataFrame, key: str, time: str, value: str) -> DataFra
     return stream.groupBy(key).applyInPandasWithState(step, f"event_id long, {key} string, previous double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def chain_violations(log: DataFrame, key: str, order: str, content: str, stored: str, previous: str) -> DataFrame:
-    """Rows whose stored digest is not that of their content, whose link is not the one before, or whose id repeats."""
+def chain_violations(log: DataFrame, key: str, order: str, content: str, stored: str, previous: str, rising: tuple[list[str], str] | None = None) -> DataFrame:
+    """Rows whose stored digest is not that of their content, whose link is not the one before, or whose id repeats.
+
+    With ``rising`` (keys, number) also rows whose number is not above the one before
+    of those keys, as bars of a session must be.
+    """
     w = Window.partitionBy(key).orderBy(order)
     bad_hash, bad_link = F.col(stored) != F.sha2(content, 256), ~F.col(previous).eqNullSafe(F.coalesce(F.lag(stored).over(w), F.lit("GENESIS")))
     repeated = F.count("*").over(Window.partitionBy(key, order)) > 1
-    reasons = F.filter(F.array(F.when(bad_hash, F.lit("content")), F.when(bad_link, F.lit("link")), F.when(repeated, F.lit("duplicate"))), lambda x: x.isNotNull())
+    found = [F.when(bad_hash, F.lit("content")), F.when(bad_link, F.lit("link")), F.when(repeated, F.lit("duplicate"))]
+    if rising:
+        found.append(F.when(F.col(rising[1]) <= F.lag(rising[1]).over(Window.partitionBy(*rising[0]).orderBy(order)), F.lit("order")))
+    reasons = F.filter(F.array(*found), lambda x: x.isNotNull())
     return log.withColumn("violations", F.array_join(reasons, ",")).where("violations <> ''")
 
 
