@@ -66,7 +66,10 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, cells: int =
 
     Starts in proportion to the counts.  Where the program cannot close the gap
     from there, it starts again with fewer of each size: 1, 2, 4 and so on, and
-    at last with none, which is the exact program over the whole budget.
+    at last with none, which is the exact program over the whole budget where that
+    has at most ``cells`` steps of the sizes' common divisor.  A wider gap is first
+    narrowed with the longest documents that fit, and what then remains is closed as
+    near as can be, not always exactly: it takes documents of millions of words.
     """
     best = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
