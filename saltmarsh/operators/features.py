@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from saltmarsh.operators.ranks import interpolated
+
 SYMBOL, SESSION = ("symbol",), ("symbol", "trade_date")
 
 
@@ -306,7 +308,7 @@ def causal_regime(df: DataFrame, value: str, trend: str, sessions: int = 60, lea
 
 def full_frame_regime(df: DataFrame, value: str, trend: str) -> DataFrame:
     """The same labels from quantiles of the whole frame (not causal; for reports)."""
-    q = df.agg(*[F.percentile(value, p).alias(f"q{int(p * 100)}") for p in (0.25, 0.75, 0.9)])
+    q = interpolated(df, [], value, {"q25": 0.25, "q75": 0.75, "q90": 0.9})
     v, t = F.col(value), F.col(trend)
     regime = F.when(v >= F.col("q90"), "shock").when(v >= F.col("q75"), "high_vol").when(v <= F.col("q25"), "compression").when(t > 0, "trend_up").when(t < 0, "trend_down").otherwise("range")
     return df.crossJoin(F.broadcast(q)).withColumn("regime", regime)

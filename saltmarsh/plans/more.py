@@ -9,6 +9,7 @@ from saltmarsh.operators import asof as J
 from saltmarsh.operators import features as E
 from saltmarsh.operators import metrics as M
 from saltmarsh.operators import select as C
+from saltmarsh.operators.ranks import interpolated
 from saltmarsh.plans.views import reg
 from saltmarsh.sources import tables as T
 from saltmarsh.streaming import jobs as S
@@ -78,7 +79,7 @@ reg(
 reg("b39_bar_aliases", lambda v: v.bars.select("symbol", "bar_ts", F.col("open").alias("f_open"), F.when(F.col("slot") % 2 == 0, F.col("close")).alias("close"), F.col("close").alias("fut_close")).select("symbol", "bar_ts", F.col("f_open").alias("open"), F.coalesce("close", "fut_close").alias("close")), "SELECT symbol, bar_ts, open, close FROM bars", KEEP, "open close")
 def _prior_thresholds(v):
     d = v.scores.withColumn("day", F.to_date("ts"))
-    q = d.groupBy("day").agg(F.percentile("p", 0.85).alias("q85"), F.percentile("p", 0.95).alias("q95"))
+    q = interpolated(d, ["day"], "p", {"q85": 0.85, "q95": 0.95})
     w = Window.partitionBy(F.lit(0)).orderBy("day")
     return d.join(q.select("day", F.lag("q85").over(w).alias("q85"), F.lag("q95").over(w).alias("q95")), "day").withColumn("level", F.when(F.col("p") >= F.col("q95"), 2).when(F.col("p") >= F.col("q85"), 1).otherwise(0).cast("long"))
 
