@@ -44,7 +44,7 @@ from saltmarsh.llm.common import cut
 STEPS, SHIFT = 64, 1_000_000
 COMPONENTS = 16
 #: Share of the whole variance below which a direction counts as none.
-RANK = 1e-24
+RANK = 1e-20
 #: Passes of CholeskyQR at most; three serve vectors that span all dimensions.
 PASSES = 8
 #: Rows that a task multiplies at a time.
