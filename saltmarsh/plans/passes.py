@@ -74,19 +74,13 @@ _TABLES = "WITH t AS (SELECT t.*, CAST(r // 5 AS BIGINT) AS b FROM trades t JOIN
 reg("d12_fold_tables", lambda v: M.fold_tables(v.trades, ["side"], "gross_bps"), f"{_TABLES} SELECT * FROM a", "side kind fold n wins losses days", "ev total")
 
 
-def _candidates(v):
-    """Trades of a supplier, some with a week or a day only, so that each kind of fold is chosen somewhere."""
-    few = F.when(F.col("config") % 3 == 0, F.col("date") < F.lit("1995-01-10").cast("date")).when(F.col("config") % 3 == 1, F.col("date") < F.lit("1995-03-01").cast("date")).otherwise(F.lit(True))
-    return v.trades.where(few)
-
-
-_CAND = "SELECT * FROM trades WHERE CASE config % 3 WHEN 0 THEN date < DATE '1995-01-10' WHEN 1 THEN date < DATE '1995-03-01' ELSE true END"
+# Orders ship on one to seven days, so that each kind of fold is chosen for some.
 reg(
-    "d12_selection_folds", lambda v: M.selection_folds(M.fold_tables(_candidates(v), ["config"], "gross_bps"), ["config"]),
-    f"""WITH q AS ({_CAND}), t AS (SELECT q.*, CAST(r // 5 AS BIGINT) AS b FROM q JOIN (SELECT config AS s, date AS d, row_number() OVER (PARTITION BY config ORDER BY date) - 1 AS r FROM (SELECT DISTINCT config, date FROM q)) ON s = config AND d = date),
-      a AS ({" UNION ALL ".join(_FOLD.replace("side", "config").format(k=f"'{k}'", f=f"CAST({f} AS VARCHAR)") for k, f in (("bucket", "b"), ("day", "date"), ("year", "year(date)")))}),
-      c AS (SELECT config AS cc, CASE WHEN count(*) FILTER (kind = 'bucket') >= 2 THEN 'bucket' WHEN count(*) FILTER (kind = 'day') >= 2 THEN 'day' ELSE 'year' END AS chosen FROM a GROUP BY 1) SELECT a.* FROM a JOIN c ON cc = config AND kind = chosen""",
-    "config kind fold n wins losses days", "ev total",
+    "d12_selection_folds", lambda v: M.selection_folds(M.fold_tables(v.trades, ["order_key"], "gross_bps"), ["order_key"]),
+    f"""WITH t AS (SELECT q.*, CAST(r // 5 AS BIGINT) AS b FROM trades q JOIN (SELECT order_key AS s, date AS d, row_number() OVER (PARTITION BY order_key ORDER BY date) - 1 AS r FROM (SELECT DISTINCT order_key, date FROM trades)) ON s = order_key AND d = date),
+      a AS ({" UNION ALL ".join(_FOLD.replace("side", "order_key").format(k=f"'{k}'", f=f"CAST({f} AS VARCHAR)") for k, f in (("bucket", "b"), ("day", "date"), ("year", "year(date)")))}),
+      c AS (SELECT order_key AS cc, CASE WHEN count(*) FILTER (kind = 'bucket') >= 2 THEN 'bucket' WHEN count(*) FILTER (kind = 'day') >= 2 THEN 'day' ELSE 'year' END AS chosen FROM a GROUP BY 1) SELECT a.* FROM a JOIN c ON cc = order_key AND kind = chosen""",
+    "order_key kind fold n wins losses days", "ev total",
 )
 
 

@@ -171,4 +171,4 @@ reg("i06_stable_probability", lambda v: v.ticks.select("event_id", K.stable_prob
 reg("i07_logistic", lambda v: v.scores.select("event_id", K.logistic(F.col("p") - 0.5).alias("s")), "SELECT event_id, 1 / (1 + exp(-20 * (p - 0.5))) AS s FROM scores", "event_id", "s")
 reg("i08_month_chunks", lambda v: K.month_chunks(v.table("orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b")), "a", "b"), "SELECT o_custkey, greatest(a, m) AS chunk_from, least(b, last_day(m)) AS chunk_to FROM (SELECT o_custkey, a, b, CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS DATE) AS m FROM (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1))", "o_custkey chunk_from chunk_to")
 reg("i09_finite", lambda v: v.bars.select("symbol", "bar_ts", F.coalesce(F.nanvl(F.try_divide(F.col("close"), F.col("volume")), F.lit(0.0)), F.lit(0.0)).alias("x")), "SELECT symbol, bar_ts, coalesce(close / nullif(volume, 0), 0) AS x FROM bars", "symbol bar_ts", "x")
-reg("e48_family_features", lambda v: E.volume_ratio(E.price_returns(E.momentum_bps(v.bars, 1, E.SYMBOL), (1,))), None, "symbol bar_ts", "momentum_bps return_1 volume_ratio")
+reg("e48_family_features", lambda v: E.volume_ratio(E.price_returns(E.momentum_bps(v.bars, 1, E.SYMBOL), (1,))), "SELECT symbol, bar_ts, CASE WHEN before <> 0 THEN (close / before - 1) * 10000 END AS momentum_bps, CASE WHEN before <> 0 THEN close / before - 1 ELSE 0 END AS return_1, CASE WHEN m > 0 THEN volume / m ELSE 1 END AS volume_ratio FROM (SELECT *, lag(close) OVER w AS before, avg(volume) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS m FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts))", "symbol bar_ts", "momentum_bps return_1 volume_ratio")
