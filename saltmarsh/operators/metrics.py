@@ -292,3 +292,31 @@ def confusion(df: DataFrame, keys: list[str], actual: str, predicted: str, class
         *keys, "class", *[of_class([F.col(f"n_{i}_{j}") for i in k]).alias(f"as_{j}") for j in k],
         of_class(precision).alias("precision"), of_class(recall).alias("recall"), of_class(f1).alias("f1"), *[v.alias(n) for n, v in mean.items()],
     )
+
+
+def trade_summary(df: DataFrame, keys: list[str], reason: str, value: str, date: str) -> DataFrame:
+    """keys, metric, value: trades, net, annual Sharpe of daily sums, and ``exit_`` counts by reason; a missing value counts as 0."""
+    v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+    days = df.groupBy(*keys, date, F.coalesce(F.col(reason), F.lit("unknown")).alias("__reason")).agg(F.count("*").alias("n"), F.sum(v).alias("s"))
+    exits = days.groupBy(*keys, F.concat(F.lit("exit_"), "__reason").alias("metric")).agg(F.sum("n").cast("double").alias("value"))
+    by_day = days.groupBy(*keys, date).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = by_day.groupBy(*keys).agg(F.sum("n").cast("double").alias("trades"), F.sum("s").alias("net"), sharpe_of(F.col("s")).alias("daily_sharpe"))
+    return whole.unpivot(list(keys), ["trades", "net", "daily_sharpe"], "metric", "value").unionByName(exits)
+
+
+# How far a summary may be off its reference, as a share.
+TOLERANCES = {"trades": 0.01, "net": 0.01, "exit_": 0.02}
+
+
+def summary_deltas(actual: DataFrame, reference: DataFrame, keys: list[str], tolerances: dict[str, float] = TOLERANCES) -> DataFrame:
+    """Two tables of ``trade_summary`` side by side: actual, reference, delta, relative (to the reference; infinite where only that is 0) and passed.
+
+    A metric that one side lacks counts as 0 there.  A metric whose name begins with
+    none of ``tolerances`` is not tested: its passed is null.
+    """
+    on = [*keys, "metric"]
+    j = actual.select(*on, F.col("value").alias("a")).join(reference.select(*on, F.col("value").alias("b")), on, "full_outer")
+    j = j.select(*on, F.coalesce("a", F.lit(0.0)).alias("actual"), F.coalesce("b", F.lit(0.0)).alias("reference")).withColumn("delta", F.col("actual") - F.col("reference"))
+    relative = F.when(F.col("reference") != 0, F.try_divide(F.col("delta"), F.col("reference"))).when(F.col("actual") == 0, 0.0).otherwise(float("inf"))
+    limit = F.coalesce(*[F.when(F.startswith("metric", F.lit(n)), F.lit(t)) for n, t in tolerances.items()])
+    return j.withColumn("relative", relative).withColumn("passed", F.abs("relative") <= limit)

@@ -110,3 +110,29 @@ def hit_report(picks: DataFrame, by: list[str]) -> DataFrame:
         F.count("*").alias("picks"), F.count_if(F.col("gross") > 0).alias("wins"), F.count_if(F.col("gross") < 0).alias("losses"),
         F.avg((F.col("gross") > 0).cast("double")).alias("hit_rate"), F.sum("net_score").alias("net_score"),
     )
+
+
+# Minutes of the day between which entries are made, the pause at noon, and the regime without entries.
+ENTRY_FROM, ENTRY_UNTIL, PAUSE, NO_ENTRY = 585, 895, (660, 720), "compression"
+
+
+def entry_eligible(df: DataFrame, at: str = "bar_ts", regime: str = "regime") -> DataFrame:
+    """Rows from half an hour after the open until 14:55, but for 11:00 to 12:00, outside compression; a missing regime is none."""
+    minute = F.hour(at) * 60 + F.minute(at)
+    pause = (minute >= PAUSE[0]) & (minute < PAUSE[1])
+    return df.where((minute >= ENTRY_FROM) & (minute < ENTRY_UNTIL) & ~pause & ~F.coalesce(F.col(regime) == NO_ENTRY, F.lit(False)))
+
+
+def regime_gate(df: DataFrame, current: Column, allowed: list[str] | None) -> DataFrame:
+    """Rows whose current regime is allowed; all where no list is given, none of a missing regime where one is."""
+    return df if allowed is None else df.where(F.coalesce(current.isin(allowed), F.lit(False)))
+
+
+def front_month(df: DataFrame, group: list[str], symbol: str = "symbol") -> DataFrame:
+    """Rows of front-month symbols (ending with ``-I``); of a group without any, all rows."""
+    front = F.coalesce(F.upper(F.trim(symbol)).endswith("-I"), F.lit(False))
+    some = df.where(front).select(*[F.col(g).alias(f"__{g}") for g in group]).distinct()
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return df.where(front).unionByName(df.where(~front).join(some, on, "left_anti"))

@@ -69,6 +69,19 @@ def append_missing_days(df: DataFrame, existing: DataFrame, keys: list[str]) ->
     return df.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def fill_archive(source: DataFrame, archive: DataFrame, keys: list[str], overlap: DataFrame, prices: list[str], at: str = "bar_ts") -> DataFrame:
+    """Rows of ``source`` from 09:15 to 15:29 on days that ``archive`` lacks, prices rounded to two digits.
+
+    ``overlap`` is the one row of a reconciliation of both over common days: where its
+    drift is true nothing is filled, and that is an error.
+    """
+    if overlap.first()["drift"]:
+        raise ValueError("source and archive drift apart on the days that both have")
+    minute = F.hour(at) * 60 + F.minute(at)
+    rows = source.where(minute.between(555, 929)).withColumns({c: F.round(c, 2) for c in prices})
+    return append_missing_days(rows, archive, keys)
+
+
 def file_inventory(df: DataFrame, time: str) -> DataFrame:
     """Rows, bounds and an order-free coverage digest of each source file."""
     return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(
