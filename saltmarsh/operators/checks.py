@@ -7,7 +7,10 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saltmarsh.functions.normalise import route
+from saltmarsh.operators import ranks
 from saltmarsh.operators.matrix import SPECIAL_SESSIONS
+from saltmarsh.streaming.jobs import scratch
 
 # Bars of a whole session, the session's closing window and end, and the tolerances of the three comparisons.
 BARS = (345, 380)
@@ -195,3 +198,36 @@ def rescaled_oi(bars: DataFrame, regimes: DataFrame, keys: list[str], at: str =
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
     met = bars.join(off, on, "left")
     return met.withColumn("oi", F.when(F.col("__day").isNotNull(), F.col("oi") * X100).otherwise(F.col("oi"))).select(*bars.columns)
+
+
+# Scaled deviations and, where the deviation of half the returns is nothing, the plain one from which a return is an outlier; returns that a source needs.
+OUTLIER, OUTLIER_FLAT, OUTLIER_LEAST = 8.0, 0.05, 5
+
+
+def session_outliers(rows: DataFrame, source: list[str], at: str, order: str, price: str) -> DataFrame:
+    """``rows`` with ret (from the row before it on the same day) and outlier, by the source's median return and median deviation.
+
+    Both medians are exact and found by narrowing brackets, so no task holds a source's
+    returns.  A first row of a day has no return and is no outlier; a source with too
+    few returns has none.  The returns are written once, as several passes read them.
+    """
+    before = F.lag(price).over(Window.partitionBy(*source, F.to_date(at)).orderBy(at, order))
+    folder = f"{scratch(rows.sparkSession)}/returns"
+    rows.withColumn("ret", F.try_divide(F.col(price), before.cast("double")) - 1).write.parquet(folder)
+    r = rows.sparkSession.read.parquet(folder)
+    counts = r.groupBy(*source).agg(F.count("ret").alias("__n"))
+    d = r.join(ranks.interpolated(r, source, "ret", {"__med": 0.5}), source, "left").withColumn("__dev", F.abs(F.col("ret") - F.col("__med")))
+    d = d.join(ranks.interpolated(d, source, "__dev", {"__mad": 0.5}), source, "left").join(counts, source, "left")
+    far = F.when(F.col("__mad") == 0, F.col("__dev") > OUTLIER_FLAT).otherwise(F.col("__dev") / (1.4826 * F.col("__mad")) > OUTLIER)
+    return d.withColumn("outlier", F.coalesce((F.col("__n") >= OUTLIER_LEAST) & far, F.lit(False))).select(*rows.columns, "ret", "outlier")
+
+
+def reject_router(df: DataFrame, tests: dict[str, Column], source: list[str], keys: list[str], at: str, order: str, price: str) -> DataFrame:
+    """Every row with its reject_reason: the first failing test, then a repeated key, then a return far from its source's.
+
+    Returns are those of the rows that nothing else rejects; null is silver.
+    """
+    routed = route(df, tests, keys, order)
+    kept = session_outliers(routed.where("reject_reason IS NULL"), source, at, order, price)
+    kept = kept.withColumn("reject_reason", F.when(F.col("outlier"), F.lit("outlier_return"))).drop("ret", "outlier")
+    return routed.where("reject_reason IS NOT NULL").unionByName(kept)

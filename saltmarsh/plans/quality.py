@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saltmarsh.functions import costs as K
 from saltmarsh.functions import normalise as N
 from saltmarsh.operators import asof as J
+from saltmarsh.operators import checks as Q
 from saltmarsh.operators import features as E
 from saltmarsh.plans.views import reg
 
@@ -22,9 +23,12 @@ _DIRTY = "(SELECT *, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS minute, price
 _OK = "(least(open, high, low, close) > 0 AND low <= least(open, close) AND greatest(open, close) <= high)"
 
 
+def _rejects():
+    return {"symbol_mismatch": F.col("symbol") == "view", "off_session": ~F.col("minute").between(60, 1380), "invalid_ohlc": ~N.valid_ohlc(), "negative_volume": F.col("volume") < 0}
+
+
 def routed(v):
-    tests = {"symbol_mismatch": F.col("symbol") == "view", "off_session": ~F.col("minute").between(60, 1380), "invalid_ohlc": ~N.valid_ohlc(), "negative_volume": F.col("volume") < 0}
-    return N.route(dirty(v), tests, ["symbol", "bucket"], "event_id")
+    return N.route(dirty(v), _rejects(), ["symbol", "bucket"], "event_id")
 
 
 _FIRST = f"CASE WHEN symbol = 'view' THEN 'symbol_mismatch' WHEN NOT minute BETWEEN 60 AND 1380 THEN 'off_session' WHEN NOT {_OK} THEN 'invalid_ohlc' WHEN volume < 0 THEN 'negative_volume' END"
@@ -32,6 +36,13 @@ _ROUTED = f"(SELECT * EXCLUDE (r), CASE WHEN r IS NULL AND row_number() OVER (PA
 reg("b03_valid_ohlc", lambda v: dirty(v).withColumn("ok", N.valid_ohlc()), f"SELECT event_id, {_OK} AS ok FROM {_DIRTY}", "event_id ok")
 reg("b02_in_session", lambda v: dirty(v).where(N.in_session(F.col("minute"), F.floor(F.second("ts")), 555, 929)), f"SELECT event_id, minute FROM {_DIRTY} WHERE minute BETWEEN 555 AND 929 AND floor(second(ts)) = 0", "event_id minute")
 reg("b04_reject_router", routed, f"SELECT event_id, symbol, bucket, reject_reason FROM {_ROUTED}", "event_id symbol bucket reject_reason")
+_OUTLIERS = f"""r AS (SELECT * FROM {_ROUTED}), a AS (SELECT event_id, symbol, close / lag(close) OVER (PARTITION BY symbol, CAST(bucket AS DATE) ORDER BY bucket, event_id) - 1 AS ret FROM r WHERE reject_reason IS NULL),
+d AS (SELECT event_id, a.symbol, n, abs(ret - med) AS dev FROM a JOIN (SELECT symbol, quantile_cont(ret, 0.5) AS med, count(ret) AS n FROM a GROUP BY 1) m ON m.symbol = a.symbol), k AS (SELECT symbol, quantile_cont(dev, 0.5) AS mad FROM d GROUP BY 1),
+o AS (SELECT event_id FROM d JOIN k ON k.symbol = d.symbol WHERE n >= 5 AND CASE WHEN mad = 0 THEN dev > 0.05 ELSE dev / (1.4826 * mad) > 8 END)"""
+reg(
+    "b04_router_with_outliers", lambda v: Q.reject_router(dirty(v), _rejects(), ["symbol"], ["symbol", "bucket"], "bucket", "event_id", "close"),
+    f"WITH {_OUTLIERS} SELECT event_id, symbol, bucket, CASE WHEN event_id IN (SELECT event_id FROM o) THEN 'outlier_return' ELSE reject_reason END AS reject_reason FROM r", "event_id symbol bucket reject_reason",
+)
 reg("e43_silver", lambda v: routed(v).where("reject_reason IS NULL"), f"SELECT event_id, symbol, bucket, close FROM {_ROUTED} WHERE reject_reason IS NULL", "event_id symbol bucket", "close")
 reg("d40_reject_counts", lambda v: routed(v).groupBy("symbol", F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")), f"SELECT symbol, coalesce(reject_reason, 'kept') AS reason, count(*) AS n FROM {_ROUTED} GROUP BY 1, 2", "symbol reason n")
 reg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import statistics
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saltmarsh.operators import callers as U
+from saltmarsh.operators import checks as Q
 from saltmarsh.operators import crossfit as O
 from saltmarsh.operators import labels as L
 from saltmarsh.operators import ranks as K
@@ -137,3 +139,34 @@ def test_out_of_fold_scores_equal_fits_fold_by_fold(spark):
     assert O.out_of_fold(df.limit(3), "ts", ["a"], "y", 60).collect() == []
     with pytest.raises(ValueError, match="positive"):
         O.out_of_fold(df, "ts", ["a"], "y", 0)
+
+
+def test_outliers_of_sessions_against_plain_python(spark):
+    rng = random.Random(9)
+    rows, want = [], set()
+    for source in ("wild", "flat", "few", None):
+        n, price, returns = {"few": 4}.get(source, 60), 100.0, []
+        for i in range(n):
+            at = datetime(2024, 1, 1 + i // 20) + timedelta(minutes=i % 20)
+            last, price = price, 100.0 * (1.0 if source == "flat" else 1 + rng.gauss(0, 0.001)) * (1.5 if i in (25, 45) else 1.0)
+            key = len(rows)
+            rows.append((source, at, key, price))
+            if i % 20:
+                returns.append((key, price / last - 1))
+        values = [r for _, r in returns]
+        if len(values) >= 5 and source is not None:
+            mid = statistics.median(values)
+            mad = statistics.median(abs(r - mid) for r in values)
+            want |= {k for k, r in returns if (abs(r - mid) / (1.4826 * mad) > 8 if mad else abs(r - mid) > 0.05)}
+    df = spark.createDataFrame(rows, "source string, at timestamp_ntz, key long, price double").repartition(3)
+    got = Q.session_outliers(df, ["source"], "at", "key", "price").collect()
+    assert len(got) == len(rows) and {r["key"] for r in got if r["outlier"]} == want and len(want) == 8
+    none = Q.session_outliers(df.limit(0), ["source"], "at", "key", "price")
+    assert none.count() == 0
+
+
+def test_router_names_outliers_last(spark):
+    rows = [("a", datetime(2024, 1, 1, 9, i), i, 100.0 if i != 7 else 200.0) for i in range(12)] + [("a", datetime(2024, 1, 1, 9, 7), 50, 900.0), ("a", datetime(2024, 1, 1, 9, 8), 51, -1.0)]
+    df = spark.createDataFrame(rows, "source string, at timestamp_ntz, key long, price double")
+    got = {r["key"]: r["reject_reason"] for r in Q.reject_router(df, {"negative": F.col("price") < 0}, ["source"], ["source", "at"], "at", "key", "price").collect()}
+    assert {k: v for k, v in got.items() if v} == {7: "outlier_return", 8: "outlier_return", 50: "duplicate_timestamp", 51: "negative"} and len(got) == 14
