@@ -188,3 +188,15 @@ def test_an_older_session_is_refused(spark, short, tmp_path):
     one(DAYS[0]).write.mode("append").parquet(f"{tmp_path}/bars")
     with pytest.raises(Exception, match="increasing order"):
         S.run_sessions(spark, stream, str(tmp_path), names(short))
+
+
+def test_baselines_of_a_session_are_those_of_its_minutes():
+    rng = np.random.default_rng(4)
+    layers = [np.where(rng.random((X.MINUTES, 4)) < 0.4, np.nan, rng.normal(size=(X.MINUTES, 4))) for _ in range(34)]
+    got = S._baselines(layers)
+    for m in range(X.MINUTES):
+        known = [v[np.isfinite(v)] for v in np.stack(layers)[:, m].T]
+        known = [v if len(v) >= X.LEAST else np.array([np.nan]) for v in known]
+        want = [*(np.median(known[i]) for i in (0, 2, 3)), known[1].mean(), known[1].std() if len(known[1]) > 1 else np.nan]
+        np.testing.assert_allclose([g[m] for g in got], want, rtol=1e-12, atol=1e-12)
+    assert all(np.isnan(g).all() for g in S._baselines(layers[: X.LEAST - 1]))
