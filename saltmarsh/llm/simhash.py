@@ -20,6 +20,11 @@ sequence; repeated rows share a fingerprint, also under one id with other texts;
 rows with a null id connect others and have their group's smallest id, null where
 no row of the group has one; texts of any length are read whole; other columns,
 whatever their names, take no part; an empty table gives an empty result.
+
+Looser similarities need wide fingerprints (margins, pivot_keys): of WIDE bits, each
+weighed by its margin, how far its count is from half.  Distances so weighed no
+longer crowd, and the pivots near a fingerprint do give candidates: two texts are
+candidates if they have near pivots in common in each of two rotations.
 """
 
 from __future__ import annotations
@@ -40,6 +45,10 @@ SEED = 42
 N_PIVOTS = 12
 #: Fingerprints that may share a block and still be compared in pairs.
 DENSE = 32
+#: Bits of a wide fingerprint.
+WIDE = 512
+#: Pivot tables of wide fingerprints, of two rotations each; near pivots of a rotation; pairs of them that a table takes.
+TABLES, NEAREST, PROBES = 10, 5, 12
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -156,6 +165,54 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def margins(hashes: np.ndarray) -> np.ndarray:
+    """WIDE counts of set less unset bits over ``hashes``; the sign of each is a bit of the fingerprint, as in ``fingerprint``."""
+    step = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    set_in = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), 255):  # sums of 255 bits fit a byte
+        h = hashes[i : i + 255, None] + step
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        set_in += np.unpackbits(h.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return 2 * set_in - len(hashes)
+
+
+def wide_masks(n_rows: int) -> np.ndarray:
+    """Signs of the reference fingerprints, by rotation and mask; more rows take more masks, so that chance agreements stay few."""
+    n_masks = 2
+    while (2 * WIDE * n_masks) ** 2 < n_rows:
+        n_masks *= 2
+    return np.random.default_rng(7).choice(np.array([-1, 1], np.float32), (2 * TABLES, n_masks, WIDE))
+
+
+def _hadamard(n: int) -> np.ndarray:
+    return reduce(np.kron, [np.array([[1, 1], [1, -1]], np.float32)] * (n.bit_length() - 1))
+
+
+def pivot_keys(weights: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """TABLES * PROBES keys for each row of ``weights`` (margins): table, and a pivot of each of its two rotations.
+
+    The pivots of a rotation are the rows of a Hadamard matrix under each mask, and
+    their complements.  A fingerprint's distance to a pivot, each bit weighed by its
+    margin, is half of the margins' sum less their product with the pivot, and a
+    Walsh-Hadamard transform has all products at once.  Each table takes the PROBES
+    pairs of near pivots whose distances together are least.
+    """
+    n, (rotations, n_masks, _) = len(weights), masks.shape
+    x = (weights.astype(np.float32)[:, None, None, :] * masks).reshape(-1, 16, WIDE // 16)
+    x = np.matmul(_hadamard(16), x @ _hadamard(WIDE // 16)).reshape(n * rotations, n_masks * WIDE)
+    size = np.abs(x)
+    at = np.argpartition(-size, NEAREST, axis=1)[:, :NEAREST]
+    number = (2 * at + (np.take_along_axis(x, at, 1) > 0)).reshape(n, TABLES, 2, NEAREST)
+    size = np.take_along_axis(size, at, 1).reshape(n, TABLES, 2, NEAREST)
+    n_pivots = 2 * n_masks * WIDE
+    pairs = (np.arange(TABLES)[:, None, None] * n_pivots + number[:, :, 0, :, None]) * n_pivots + number[:, :, 1, None, :]
+    both = (size[:, :, 0, :, None] + size[:, :, 1, None, :]).reshape(n, TABLES, -1)
+    best = np.argpartition(-both, PROBES, axis=2)[:, :, :PROBES]
+    return np.take_along_axis(pairs.reshape(n, TABLES, -1), best, 2).reshape(n, -1)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id."""
     rows = cut(fingerprints(docs, doc_id, text, shingle))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_operators import SCHEMA, make_rows, words
 
-from saltmarsh.llm import near_copies
+from saltmarsh.llm import near_copies, simhash
 
 
 def naive_survivors(rows):
@@ -52,3 +54,51 @@ def test_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, "A b  c d e f"), (3, None), (4, "")], "doc_id long, text string")
     assert sorted(r["doc_id"] or 0 for r in near_copies.drop_near_copies(docs).collect()) == [0, 1, 3]
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_pivot_keys_are_the_nearest_pivots():
+    rng = np.random.default_rng(3)
+    masks = simhash.wide_masks(100)
+    hadamard = np.array([[(-1) ** (i & j).bit_count() for j in range(simhash.WIDE)] for i in range(simhash.WIDE)])
+    for weights in (rng.integers(-127, 128, simhash.WIDE), simhash.margins(rng.integers(0, 1 << 63, 40, dtype=np.uint64))):
+        keys = simhash.pivot_keys(weights[None, :], masks)[0].reshape(simhash.TABLES, simhash.PROBES)
+        assert len(set(keys.ravel())) == keys.size
+        far = []  # of each rotation: weighted distances to its pivots and their complements
+        for r in masks:
+            pivots = np.concatenate([m * hadamard for m in r])
+            wrong = np.stack([(pivots == np.where(weights > 0, 1, -1)), (pivots == np.where(weights > 0, -1, 1))], 1)
+            far.append((wrong.reshape(-1, simhash.WIDE) * np.abs(weights)).sum(1))
+        n = len(far[0])
+        for t in range(simhash.TABLES):
+            x, y = (np.sort(f)[: simhash.NEAREST] for f in far[2 * t : 2 * t + 2])
+            least = sorted((x[:, None] + y[None, :]).ravel())[: simhash.PROBES]
+            assert sorted(far[2 * t][k // n % n] + far[2 * t + 1][k % n] for k in keys[t]) == least
+            assert set(keys[t] // (n * n)) == {t}
+
+
+def test_pairs_at_the_least_similarity_share_a_key_and_are_near():
+    rng = np.random.default_rng(8)
+    masks, bits = simhash.wide_masks(1 << 24), 64 * len(near_copies.PRINT)
+    for n in (5, 20, 150) * 30:
+        every = rng.integers(0, 1 << 63, 10 * n, dtype=np.uint64)
+        a, b = (simhash.margins(s) for s in (every[: 9 * n], every[n:]))
+        assert np.intersect1d(*simhash.pivot_keys(np.stack([a, b]), masks)).size
+        assert ((a[:bits] > 0) != (b[:bits] > 0)).sum() <= near_copies.MAX_BITS
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 100])
+def test_keys_that_span_batches(step):
+    rng = random.Random(2)
+    rows = sorted((key, node, rng.choice([node, 7]), *[rng.choice([0, -1]) for _ in near_copies.PRINT]) for key, n in enumerate((1, 2, 9, 3, 4, 1, 12)) for node in rng.sample(range(50), n))
+    want = []
+    for key in range(7):
+        of_key = [r for r in rows if r[0] == key]
+        near = lambda x, y: x[2] != y[2] and sum((a ^ b) % (1 << 64) > 0 for a, b in zip(x[3:], y[3:], strict=True)) <= 1
+        if len(of_key) > 3:
+            want += [(r[1], of_key[0][1], key, near(r, of_key[0])) for r in of_key]
+        else:
+            want += [(x[1], y[1], None, True) for i, x in enumerate(of_key) for y in of_key[i + 1 :] if near(x, y)]
+    names = ["key", "node", "label", *near_copies.PRINT]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + step]]) for i in range(0, len(rows), step)]
+    got = [tuple(r.values()) for b in near_copies._compared(iter(batches), 3) for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted(want, key=str)
