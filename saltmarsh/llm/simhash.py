@@ -191,7 +191,7 @@ def _hadamard(n: int) -> np.ndarray:
 
 
 def pivot_keys(weights: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """TABLES * PROBES keys for each row of ``weights`` (margins): table, and a pivot of each of its two rotations.
+    """PROBES keys of each table, of two rotations of ``masks``, for each row of ``weights`` (margins): table, and a pivot of each of its two rotations.
 
     The pivots of a rotation are the rows of a Hadamard matrix under each mask, and
     their complements.  A fingerprint's distance to a pivot, each bit weighed by its
@@ -200,17 +200,18 @@ def pivot_keys(weights: np.ndarray, masks: np.ndarray) -> np.ndarray:
     pairs of near pivots whose distances together are least.
     """
     n, (rotations, n_masks, _) = len(weights), masks.shape
+    tables = rotations // 2
     x = (weights.astype(np.float32)[:, None, None, :] * masks).reshape(-1, 16, WIDE // 16)
     x = np.matmul(_hadamard(16), x @ _hadamard(WIDE // 16)).reshape(n * rotations, n_masks * WIDE)
     size = np.abs(x)
     at = np.argpartition(-size, NEAREST, axis=1)[:, :NEAREST]
-    number = (2 * at + (np.take_along_axis(x, at, 1) > 0)).reshape(n, TABLES, 2, NEAREST)
-    size = np.take_along_axis(size, at, 1).reshape(n, TABLES, 2, NEAREST)
+    number = (2 * at + (np.take_along_axis(x, at, 1) > 0)).reshape(n, tables, 2, NEAREST)
+    size = np.take_along_axis(size, at, 1).reshape(n, tables, 2, NEAREST)
     n_pivots = 2 * n_masks * WIDE
-    pairs = (np.arange(TABLES)[:, None, None] * n_pivots + number[:, :, 0, :, None]) * n_pivots + number[:, :, 1, None, :]
-    both = (size[:, :, 0, :, None] + size[:, :, 1, None, :]).reshape(n, TABLES, -1)
+    pairs = (np.arange(tables)[:, None, None] * n_pivots + number[:, :, 0, :, None]) * n_pivots + number[:, :, 1, None, :]
+    both = (size[:, :, 0, :, None] + size[:, :, 1, None, :]).reshape(n, tables, -1)
     best = np.argpartition(-both, PROBES, axis=2)[:, :, :PROBES]
-    return np.take_along_axis(pairs.reshape(n, TABLES, -1), best, 2).reshape(n, -1)
+    return np.take_along_axis(pairs.reshape(n, tables, -1), best, 2).reshape(n, -1)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
