@@ -102,3 +102,35 @@ def test_keys_that_span_batches(step):
     batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + step]]) for i in range(0, len(rows), step)]
     got = [tuple(r.values()) for b in near_copies._compared(iter(batches), 3) for r in b.to_pylist()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_no_link_is_beyond_its_sketches():
+    rng = np.random.default_rng(11)
+    every = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    row = lambda s: near_copies.sketch(s)[None, :]
+    for n in (0, 1, 4, 5, 9, 60, 150, 700, 7_282, 66_000):
+        for own_a, own_b in ((0, n // 4), (n // 4, 0), (n // 8, n // 8), (n // 9, n // 8), (n, 0), (n, n)):
+            a, b = every[: n + own_a], np.concatenate([every[:n], every[150_000 : 150_000 + own_b]])
+            if 5 * n >= 4 * (n + own_a + own_b):
+                assert near_copies.linkable(row(a), row(b))[0]
+    for n in (20, 150, 400):  # without a hash in common, and of sizes that are not near enough
+        assert not near_copies.linkable(row(every[:n]), row(every[n : 2 * n]))[0]
+        assert not near_copies.linkable(row(every[:n]), row(every[: n + n // 4 + 1]))[0]
+
+
+def test_a_family_below_the_least_similarity_has_few_pairs(spark, monkeypatch):
+    rng, n_docs = random.Random(5), 200
+    text = words(rng, 150)
+    # Similarities of about 0.6: hardly a link, but near pivots and fingerprints in common.
+    rows = [(i, edited(rng, text, 4), "en", "s1", 0) for i in range(n_docs)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts, verified = [], near_copies._verified
+
+    def counted(pairs, texts):
+        counts.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    kept = near_copies.drop_near_copies(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == naive_survivors(rows)
+    assert sum(counts) <= n_docs
