@@ -134,3 +134,15 @@ def test_a_family_below_the_least_similarity_has_few_pairs(spark, monkeypatch):
     kept = near_copies.drop_near_copies(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == naive_survivors(rows)
     assert sum(counts) <= n_docs
+
+
+def test_short_sets_have_more_room_and_long_ones_do_not():
+    rng = np.random.default_rng(4)
+    every = rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)
+    names = ["key", "node", "label", *near_copies.PRINT, *near_copies.SKETCH]
+    # Under key 0, six sets of 100; under key 1, six of 1000: of either any two differ in two elements.
+    rows = [(key, i, i, 0, 0, 0, 0, *near_copies.sketch(np.append(every[: n - 1], every[-1 - i]))) for key, n in enumerate((100, 1000)) for i in range(6)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, map(int, r), strict=True)) for r in rows])
+    got = [r for b in near_copies._compared(iter([batch]), 8, 3) for r in b.to_pylist()]
+    assert sorted((r["a"], r["b"]) for r in got if r["key"] is None) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    assert sorted((r["a"], r["b"], r["near"]) for r in got if r["key"] == 1) == [(a, 0, a > 0) for a in range(6)]
