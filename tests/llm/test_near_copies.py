@@ -146,3 +146,47 @@ def test_short_sets_have_more_room_and_long_ones_do_not():
     got = [r for b in near_copies._compared(iter([batch]), 8, 3) for r in b.to_pylist()]
     assert sorted((r["a"], r["b"]) for r in got if r["key"] is None) == [(a, b) for a in range(6) for b in range(a + 1, 6)]
     assert sorted((r["a"], r["b"], r["near"]) for r in got if r["key"] == 1) == [(a, 0, a > 0) for a in range(6)]
+
+
+def test_links_within_full_keys_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "DENSE", 2)
+    monkeypatch.setattr(near_copies, "ROOM", 1)
+    rng, rows = random.Random(6), []
+    text = words(rng, 150)
+    for i in range(150):  # each with a copy of one more edit; similarities of others are on both sides of 0.8
+        one = edited(rng, text, 2)
+        rows += [(i, one, "en", "s1", 0), (1000 + (7 * i) % 150, edited(rng, one, 1), "en", "s1", 0)]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert sorted(r["doc_id"] for r in kept.collect()) == naive_survivors(rows)
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_full_keys_are_compared_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    every = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    # Sets of 100, 1000 and 1100 hashes; pairs of them at similarities around 0.8 and 0.5.
+    sets = [np.append(every[:n], every[5_000 + 300 * i :][: n // k]) for i, (n, k) in enumerate([(100, 9), (100, 2), (1000, 9), (1000, 8), (1100, 9), (1000, 2)] * 6)]
+    label = lambda i: 3 if i % 5 == 3 else i
+    prints = spark.createDataFrame([(i, *map(int, near_copies.sketch(s)), near_copies.long_sketch(s)) for i, s in enumerate(sets)], ", ".join(["node long", *(f"{c} long" for c in near_copies.SKETCH), "longer binary"]))
+    keys = {0: range(36), 1: range(10, 30), 2: [3, 8, 13]}
+    full = spark.createDataFrame([(i, key, label(i)) for key, of in keys.items() for i in of], "node long, key long, label long")
+    got = sorted(map(tuple, near_copies._of_full(full, prints).collect()))
+    similar = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in range(36) for b in range(a + 1, 36)}
+    assert len(set(got)) == len(got) and all(label(a) != label(b) and similar[a, b] > 0.6 for a, b in got)
+    links = {p for p, x in similar.items() if x >= 0.8 and label(p[0]) != label(p[1])}
+    assert len(links) > 50 and links <= set(got)
+
+
+def test_no_link_is_beyond_its_long_sketches():
+    rng = np.random.default_rng(12)
+    every = rng.integers(0, 1 << 63, 90_000, dtype=np.uint64)
+    bits = lambda a, b: (a[n := max(a.keys() & b.keys())] ^ b[n]).bit_count()
+    for n in (451, 500, 700, 1_000, 4_000, 20_000):
+        for own_a, own_b in ((0, n // 4), (n // 9, n // 8), (n // 5, 0), (n // 2, n // 2)):
+            a, b = every[: n + own_a], np.append(every[:n], every[50_000 : 50_000 + own_b])
+            x, y = (near_copies._folded(near_copies.long_sketch(s)) for s in (a, b))
+            link = 5 * n >= 4 * (n + own_a + own_b)
+            if link or n < 5_000:  # the largest have less than two bits an element
+                assert (9 * bits(x, y) <= len(a) + len(b)) == link
+    assert near_copies.long_sketch(every[:450]) is None and near_copies._folded(None) == {}
